@@ -204,11 +204,11 @@ def _encoder(ranks: dict[bytes, int], key: int) -> SpeculativeBpe:
     return _ENCODERS[key]
 
 
-def _slices(texts: list[str]) -> Iterable[list[str]]:
+def _slices(texts: list[str | None]) -> Iterable[list[str | None]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
-        size += len(t)
+        size += len(t or "")
         if size >= SLICE_CHARS or len(held) >= 2048:
             yield held
             held, size = [], 0
