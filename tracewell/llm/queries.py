@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.sharding import external_shuffle
+from tracewell.llm.simhash import near_duplicate_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,17 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_external_shuffle": op3_external_shuffle,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_bpe": op10_bpe,
 }
 
