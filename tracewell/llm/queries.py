@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.sharding import external_shuffle
 from tracewell.llm.simhash import near_duplicate_groups
+from tracewell.llm.toxicity import learn_lexicon, toxicity_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,11 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, learn_lexicon(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_external_shuffle": op3_external_shuffle,
+    "op5_toxicity": op5_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_bpe": op10_bpe,
 }
