@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.bpe import bpe_encode
+from tracewell.llm.mixing import mixed_copies
 from tracewell.llm.sharding import external_shuffle
 from tracewell.llm.simhash import near_duplicate_groups
 from tracewell.llm.toxicity import learn_lexicon, toxicity_scores
@@ -20,6 +21,10 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle(_table(spark, sf_dir, "documents"))
 
 
+def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_copies(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity_scores(docs, learn_lexicon(docs, _table(spark, sf_dir, "labels")))
@@ -35,6 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_external_shuffle": op3_external_shuffle,
+    "op4_entropy_mixing": op4_entropy_mixing,
     "op5_toxicity": op5_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_bpe": op10_bpe,
