@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.mixing import mixed_copies
+from tracewell.llm.pii import sanitise
 from tracewell.llm.sharding import external_shuffle
 from tracewell.llm.simhash import near_duplicate_groups
 from tracewell.llm.toxicity import learn_lexicon, toxicity_scores
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise(_table(spark, sf_dir, "documents"))
+
+
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_toxicity": op5_toxicity,
