@@ -62,10 +62,10 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     for kind, sign, pattern in ENTITIES:
         if sign and sign not in text:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if all(b <= x or y <= a for x, y, _ in found):
-                found.append((a, b, kind))
+        # only what earlier classes left: a pattern must not run on into their entities
+        bounds = [0, *(x for a, b, _ in sorted(found) for x in (a, b)), len(text)]
+        for begin, end in zip(bounds[::2], bounds[1::2]):
+            found += [(*m.span(), kind) for m in pattern.finditer(text, begin, end)]
     return sorted(found)
 
 
