@@ -11,6 +11,7 @@ from tracewell.llm.mixing import mixed_copies
 from tracewell.llm.pii import sanitise
 from tracewell.llm.sharding import external_shuffle
 from tracewell.llm.simhash import near_duplicate_groups
+from tracewell.llm.substrings import repeated_passages
 from tracewell.llm.toxicity import learn_lexicon, toxicity_scores
 
 
@@ -39,6 +40,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_toxicity": op5_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_repeated_substrings": op9_repeated_substrings,
     "op10_bpe": op10_bpe,
 }
 
