@@ -27,8 +27,10 @@ MIN_WORDS = 50
 #: Words of the sequences that windows are assigned to.
 GRAM = 16
 #: Suffixes that are sorted at once.
-GROUP_SUFFIXES = 200_000
-_REMEMBER = 500_000
+GROUP_SUFFIXES = 65_536
+#: Bytes of words that one task of the search holds.
+PART_BYTES = 8 << 20
+_REMEMBER = 300_000
 _SLICE_WORDS = 1_000_000
 
 
@@ -290,7 +292,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         .select("high", "low", "first", "body", "runs")
         .mapInArrow(fill, _FULL)
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((suffixes + n_runs * MIN_WORDS) * 4 / (24 << 20)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((suffixes + n_runs * MIN_WORDS) * 4 / PART_BYTES))
     found = full.repartition(parts, "gram").mapInArrow(search, _FOUND)
     w = Window.partitionBy("high", "low").orderBy("start", "source_high", "source_low", "source_start")
     last = F.lag(F.struct("start", "windows", "source_high", "source_low", "source_start")).over(w)
