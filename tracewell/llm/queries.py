@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm import kdtree
 from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.mixing import mixed_copies
 from tracewell.llm.pii import sanitise
@@ -23,6 +24,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise(_table(spark, sf_dir, "documents"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_toxicity": op5_toxicity,
@@ -59,4 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL for the queries that SQL can state; the others are held against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_top_k": kdtree.ORACLE,
+}
