@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import kdtree
+from tracewell.llm import ivfpq, kdtree
 from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.mixing import mixed_copies
 from tracewell.llm.pii import sanitise
@@ -41,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, learn_lexicon(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.approximate_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_external_shuffle": op3_external_shuffle,
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_ivfpq": op6_ivfpq,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_bpe": op10_bpe,
