@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import ivfpq, kdtree
+from tracewell.llm import ivfpq, kdtree, licenses
 from tracewell.llm.bpe import bpe_encode
 from tracewell.llm.mixing import mixed_copies
 from tracewell.llm.pii import sanitise
@@ -45,6 +45,10 @@ def op6_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.approximate_top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_entropy_mixing": op4_entropy_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_ivfpq": op6_ivfpq,
+    "op7_license_templates": op7_license_templates,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_bpe": op10_bpe,
@@ -72,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: SQL for the queries that SQL can state; the others are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": kdtree.ORACLE,
+    "op7_license_templates": licenses.oracle(),
 }
