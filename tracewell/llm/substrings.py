@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import broadcast_if_small, quoted, stage
+from tracewell.llm.common import quoted, stage
 
 #: Words that a passage has at least.
 MIN_WORDS = 50
@@ -288,7 +288,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     full = (
         texts.select("high", "low", "body")
-        .join(broadcast_if_small(kept.select("high", "low", "first", "runs")), ["high", "low"])
+        .join(kept.select("high", "low", "first", "runs").hint("merge"), ["high", "low"])
         .select("high", "low", "first", "body", "runs")
         .mapInArrow(fill, _FULL)
     )
