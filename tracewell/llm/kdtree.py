@@ -16,6 +16,8 @@ K = 10
 #: Vectors a shard has at most, unless they are equal.
 SHARD_ROWS = 16_384
 LEAF_ROWS = 96
+#: Queries that go through a tree together.
+BLOCK_QUERIES = 512
 #: Queries that visit a shard in one group.
 VISIT_ROWS = 32_768
 
@@ -69,11 +71,40 @@ class KdTree:
             rows, nodes = np.repeat(rows[~leaf], 2), self.children[nodes[~leaf]].ravel()
         return tuple(np.concatenate(x) if x else np.empty(0) for x in zip(*out))  # type: ignore[return-value]
 
+    def routed(self, queries: np.ndarray) -> np.ndarray:
+        """The queries' places in an order that keeps those near each other together."""
+        nodes = np.zeros(len(queries), np.int64)
+        live = np.flatnonzero(self.children[nodes, 0] >= 0)
+        while len(live):
+            left, right = self.children[nodes[live]].T
+            q = queries[live]
+            nearer = box_bounds(q, self.lows[left], self.highs[left]) <= box_bounds(q, self.lows[right], self.highs[right])
+            nodes[live] = np.where(nearer, left, right)
+            live = live[self.children[nodes[live], 0] >= 0]
+        return np.argsort(nodes, kind="stable")
+
     def search(self, queries: np.ndarray, own: np.ndarray, limit: np.ndarray, key: np.ndarray, uid: np.ndarray, k: int):
         """The k nearest points of each query within its limit, as (query, distance, key, uid) sorted by query.
 
-        Best first: each query takes its leaves by rising bound, all queries one leaf a round; the kth
-        distance so far is its limit from then on, and leaves beyond it are dropped.  ``own`` is the uid of
+        Queries are taken in blocks that bound the memory used, near ones together.
+        """
+        if not len(queries) or not self.span:
+            return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        order, parts = self.routed(queries), []
+        for a in range(0, len(order), BLOCK_QUERIES):
+            who = order[a : a + BLOCK_QUERIES]
+            found = self._search_block(queries[who], own[who], limit[who], key, uid, k)
+            parts.append((who[found[0]], *found[1:]))
+        best = [np.concatenate(x) for x in zip(*parts)]
+        by = firsts(*best, k)
+        return tuple(x[by] for x in best)
+
+    def _search_block(self, queries: np.ndarray, own: np.ndarray, limit: np.ndarray, key: np.ndarray, uid: np.ndarray, k: int):
+        """:meth:`search` for some queries.
+
+        Best first: each query takes its leaves by rising bound, all queries one leaf in the first round and
+        twice as many in each next; the kth distance so far is its limit from then on, and leaves beyond it
+        are dropped.  ``own`` is the uid of
         the query, which isn't its own neighbour.
         """
         limit = limit.copy()
@@ -85,18 +116,25 @@ class KdTree:
         best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
         norms = float(np.abs(self.points).max(initial=0) + np.abs(queries).max(initial=0)) ** 2 * queries.shape[1] if len(queries) else 0.0
         slack = 1e-11 * norms
-        live = np.flatnonzero(at < end)
+        live, step = np.flatnonzero(at < end), 1
         while len(live):
-            on = bound[at[live]] <= limit[live]
-            live = live[on]  # bounds only rise: a query beyond its limit is done
-            now = leaf[at[live]]
+            many = np.minimum(end[live] - at[live], step)
+            places = np.repeat(at[live] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            who_of = np.repeat(live, many)
+            on = bound[places] <= limit[who_of]
+            at[live] += many
+            # bounds only rise: a query whose last leaf of the round is beyond its limit is done
+            done = ~on[np.cumsum(many) - 1]
+            places, who_of = places[on], who_of[on]
+            now = leaf[places]
             by = np.argsort(now, kind="stable")
-            grouped, cuts = live[by], np.flatnonzero(np.concatenate([[True], now[by][1:] != now[by][:-1]])) if len(live) else []
+            grouped, now = who_of[by], now[by]
+            cuts = np.flatnonzero(np.concatenate([[True], now[1:] != now[:-1]])) if len(now) else []
             new_rows, new_points = [], []
             for i, a in enumerate(cuts):
                 b = cuts[i + 1] if i + 1 < len(cuts) else len(grouped)
                 who = grouped[a:b]
-                first, last = self.span[now[by][a]]
+                first, last = self.span[now[a]]
                 members = self.order[first:last]
                 near = squared(queries[who], self.points[members]) <= limit[who][:, None] + slack
                 r, c = np.nonzero(near)
@@ -122,8 +160,8 @@ class KdTree:
                 last_of = np.cumsum(counts)[full] - 1
                 # ``joined`` is sorted by query, so the kth of a full one is its last
                 limit[full] = np.minimum(limit[full], joined[1][last_of])
-            at[live] += 1
-            live = live[at[live] < end[live]]
+            live = live[~done & (at[live] < end[live])]
+            step *= 2
         order = firsts(*best, k)
         return tuple(x[order] for x in best)
 

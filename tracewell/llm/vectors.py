@@ -41,8 +41,11 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of rows, pair by pair, from their differences (no cancellation)."""
-    d = a - b
-    return np.einsum("ij,ij->i", d, d)
+    out = np.empty(len(a))
+    for i in range(0, len(a), 32_768):
+        d = a[i : i + 32_768] - b[i : i + 32_768]
+        out[i : i + 32_768] = np.einsum("ij,ij->i", d, d)
+    return out
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
