@@ -29,9 +29,9 @@ GRAM = 16
 #: Suffixes that are sorted at once.
 GROUP_SUFFIXES = 65_536
 #: Bytes of words that one task of the search holds.
-PART_BYTES = 8 << 20
-_REMEMBER = 300_000
-_SLICE_WORDS = 1_000_000
+PART_BYTES = 4 << 20
+_REMEMBER = 200_000
+_SLICE_WORDS = 300_000
 
 
 class Words:
