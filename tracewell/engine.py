@@ -9,6 +9,7 @@ import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import cached_property
 from pathlib import Path
 
@@ -279,7 +280,7 @@ def write_dump(records: DataFrame, registry: Registry, interns: dict[int, list[t
     before = [(wire.SCHEMA, wire.types_body(registry.types.values()))]
     before += [(wire.INTERN, wire.intern_body(i, e)) for i, e in interns.items()]
     before += [(wire.VIEWS, v.encode()) for v in registered] + [(wire.META, wire.meta_body(i, h)) for i, h in hosts.items()]
-    signed = lambda c: F.when(F.col(c) >= F.lit(1 << 63).cast("decimal(20,0)"), F.col(c) - F.lit(1 << 64).cast("decimal(21,0)")).otherwise(F.col(c)).cast("bigint").alias(c)
+    signed = lambda c: F.when(F.col(c) >= F.lit(Decimal(1 << 63)), F.col(c) - F.lit(Decimal(1 << 64))).otherwise(F.col(c)).cast("bigint").alias(c)
 
     def region(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival", kind="stable")

@@ -99,4 +99,4 @@ def span_seed(span_id: Column) -> Column:
 
 def pow2_ceiling(n: Column) -> Column:
     """The next power of two, exactly: by doubling bits, not by floating-point logarithms."""
-    return F.when(n <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(n - 1)))).cast("long")
+    return F.when(n <= 1, F.lit(1)).otherwise(F.expr("1L") * F.pow(F.lit(2.0), F.length(F.bin(n - 1)))).cast("long")

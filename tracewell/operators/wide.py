@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ _TYPES = {"unsigned": U64, "signed": "bigint", "bool": "boolean", "text": "strin
 def unsigned_bits(bits: Column) -> Column:
     """The unsigned number that a long's bits stand for."""
     wide = bits.cast(U64)
-    return F.when(bits < 0, (wide + F.lit(1 << 64).cast("decimal(20,0)")).cast(U64)).otherwise(wide)
+    return F.when(bits < 0, (wide + F.lit(Decimal(1 << 64))).cast(U64)).otherwise(wide)
 
 
 def slice_of(f: Field, data: Column) -> Column:
@@ -54,7 +55,7 @@ def decoded(f: Field, data: Column, sentinels: bool = True, text_of: Column | No
         return raw
     if f.output == "signed":
         half = 1 << (8 * f.width - 1)
-        return F.when(raw >= u64(half), raw - F.lit(2 * half).cast("decimal(20,0)")).otherwise(raw).cast("bigint")
+        return F.when(raw >= u64(half), raw - F.lit(Decimal(2 * half))).otherwise(raw).cast("bigint")
     if f.output == "bool":
         return raw != F.lit(0)
     if f.kind == "enum":
