@@ -109,7 +109,9 @@ class DumpReader(DataSourceReader):
                 out.append(ShardPartition(path, file_idx, section_idx, h, sizes, self.wanted))
         return out
 
-    def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ShardPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no ring at all
+            return
         h = partition.header
         with open_input(partition.path) as f:
             region = read_at(f, h.offset, h.capacity)
