@@ -22,15 +22,15 @@ _BSD_TWO = """Redistribution and use in source and binary forms, with or without
 <<var;name="bullet2";original="2.";match=".{0,1}">> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
 documentation and/or other materials provided with the distribution."""
 
-#: Full texts and the short notices that name a license, by name.
+#: Full texts and the short notices that name a license, by name.  Underscores stand for spaces.
 TEMPLATES: dict[str, str] = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name="work";original="this software and associated documentation files";match=".{1,12}">>
-(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
-the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
-<<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
-AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name="holders";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".{1,20}">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
-IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MIT": """permission_is_hereby_granted,_free_of_charge,_to_any_person_obtaining_a_copy_of <<var;name="work";original="this software and associated documentation files";match=".{1,12}">>
+(the_"software"),_to_deal_in_the_software_without_restriction,_including_without_limitation_the_rights_to_use,_copy,_modify,_merge,_publish,_distribute,_sublicense,_and/or_sell_copies_of
+the_software,_and_to_permit_persons_to_whom_the_software_is_furnished_to_do_so,_subject_to_the_following_conditions:_the_above_copyright_notice_and_this_permission_notice
+<<beginOptional>>(including_the_next_paragraph)<<endOptional>> shall_be_included_in_all_copies_or_substantial_portions_of_the_software.
+the_software_is_provided_"as_is",_without_warranty_of_any_kind,_express_or_implied,_including_but_not_limited_to_the_warranties_of_merchantability,_fitness_for_a_particular_purpose
+and_noninfringement._in_no_event_shall <<var;name="holders";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".{1,20}">> be_liable_for_any_claim,_damages_or_other_liability,_whether
+in_an_action_of_contract,_tort_or_otherwise,_arising_from,_out_of_or_in_connection_with_the_software_or_the_use_or_other_dealings_in_the_software.""",
     "BSD-2-Clause": f"{_BSD_TWO} {_AS_IS_BSD}",
     "BSD-3-Clause": f"""{_BSD_TWO} <<var;name="bullet3";original="3.";match=".{{0,1}}">> Neither the name of <<var;name="organization";original="the copyright holder";match=".{{1,12}}">> nor the names of
 <<beginOptional>>its<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS_BSD}""",
@@ -75,7 +75,7 @@ def parse(markup: str) -> list:
     stack: list[list] = [[]]
     for kind, value in pieces:
         if kind == "text":
-            stack[-1] += _WORD.findall(value.lower())
+            stack[-1] += _WORD.findall(value.lower().replace("_", " "))
         elif value == "beginOptional":
             stack.append([])
         elif value == "endOptional":
