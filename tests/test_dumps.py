@@ -214,7 +214,7 @@ def test_convert_and_query(spark, tmp_path):
     dump(a, three(), extra=[(wire.VIEWS, b"SELECT 'registered'")])
     out = engine.convert(spark, [str(a)], str(tmp_path / "a.parquet"), level=5)
     t = spark.read.parquet(out)
-    assert t.columns == ["seq", "ts_nanos", "event", "event_id", "instance_id", "conn_id", "dump_id", "packet_number", "span", "parent", "test::net::Connect", "test::net::Frame", "test::net::PacketSent", "test::work::End"]
+    assert t.columns == [*wide.DENSE, *"conn_id dump_id packet_number span parent test::net::Connect test::net::Frame test::net::PacketSent test::work::End".split()]
     rows = t.orderBy("seq").collect()
     assert [(r.seq, int(r.ts_nanos), r.event) for r in rows] == [(0, 1000, "test::net::Connect"), (1, 1010, "test::net::PacketSent"), (2, 1020, "test::net::PacketSent")]
     assert rows[0]["test::net::Connect"].asDict() == {"window": Decimal(4096), "role": "Server", "_pad": "000000"} and rows[0]["test::net::PacketSent"] is None

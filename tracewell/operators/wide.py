@@ -12,7 +12,7 @@ from tracewell.functions.ids import U64, bytes_text, u64
 from tracewell.sources.schema import EventType, Field, Registry
 from tracewell.sources.wire import PREFIX
 
-DENSE = ("seq", "ts_nanos", "event", "event_id", "instance_id")
+DENSE = tuple("seq ts_nanos event event_id instance_id".split())
 _TYPES = {"unsigned": U64, "signed": "bigint", "bool": "boolean", "text": "string"}
 
 
@@ -180,6 +180,7 @@ def sparse_wide(records: DataFrame, registry: Registry, interns: DataFrame | Non
         records, texts = with_texts(records, plan.types, interns)
     value = lambda t, f: decoded(f, F.col("fields"), text_of=texts.get((t.id, f.name)))
     kind = F.col("event_id")
-    return records.select(
-        "seq", "ts_nanos", plan.event_name(kind).alias("event"), "event_id", "instance_id", *plan.promoted_columns(kind, value), *plan.struct_columns(kind, value)
+    named = records.withColumn("event", plan.event_name(kind))
+    return named.select(
+        *DENSE, *plan.promoted_columns(kind, value), *plan.struct_columns(kind, value)
     )

@@ -149,7 +149,7 @@ def key_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.manifest(spark, registry())
 
 
-@query("SELECT NULL::VARCHAR AS event, NULL::VARCHAR AS field, NULL::VARCHAR AS role WHERE false")
+@query("SELECT CAST(NULL AS VARCHAR) AS event, '' AS field, '' AS role FROM s WHERE 1 = 0")
 def key_manifest_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of a registry without keys."""
     return views.manifest(spark, Registry.of([event("app::plain", Declared("n", "u32"))]))
