@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from tracewell.llm.common import fresh, quoted
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words a worker remembers before it starts anew; bounds memory, changes no result.
-REMEMBER = 600_000
+REMEMBER = 200_000
 #: Characters cut into words at a time; bounds memory, changes no result.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 # Words as the vocabulary was made for: contractions, letters, numbers, other signs, white space.
 _EXACT = regex.compile(
@@ -194,26 +195,15 @@ class SpeculativeBpe:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-_ENCODERS: dict[int, SpeculativeBpe] = {}
-
-
-def _encoder(ranks: dict[bytes, int], key: int) -> SpeculativeBpe:
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = SpeculativeBpe(ranks)
-    return _ENCODERS[key]
-
-
-def _slices(texts: list[str | None]) -> Iterable[list[str | None]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size >= SLICE_CHARS or len(held) >= 2048:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _slices(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a column, some at a time: as many as are about SLICE_CHARS long, one at least."""
+    ends = np.cumsum(np.nan_to_num(pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(float)))
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        end = min(start + 512, max(start + 1, int(np.searchsorted(ends, before + SLICE_CHARS, "right"))))
+        yield column.slice(start, end - start).to_pylist()
+        start = end
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -241,14 +231,12 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, id(shared.value))
+        encoder = SpeculativeBpe(shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(len(kept))
-            texts = column.to_pylist()
             done = 0
-            for part in _slices(texts):
+            for part in _slices(batch.column(len(kept))):
                 real = [t or "" for t in part]
                 ids, counts = encoder.encode(real)
                 null = np.fromiter((t is None for t in part), bool, len(part))
@@ -280,7 +268,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "
     place = encoded.columns.index(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, id(shared.value))
+        encoder = SpeculativeBpe(shared.value)
         for batch in batches:
             lists = batch.column(place)
             counts = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
