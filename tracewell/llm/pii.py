@@ -212,7 +212,7 @@ def _cleaner(shared):
         removed, general = shared.value
         for texts, *before in batches:
             done = zip(*[b.to_pylist() for b in before])
-            rows = [(None, 0, 0, 0) if t is None else sanitised(t, removed, general, d) for t, d in zip(texts.to_pylist(), done)]
+            rows = [(None, 0, 0, 0) if t is None else sanitised(t, removed, general, d) for t, d in zip((x.as_py() for x in texts), done)]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
             parts = zip(*rows) if rows else [()] * 4
             yield pa.StructArray.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds)], ["text", "entities", "generalised", "removed"])

@@ -41,7 +41,7 @@ _REPORT = frozenset(
     "sagte nannte schrieb wort zitat dit appelé écrit mot terme dijo llamó escribió palabra término".split()
 )
 _QUOTED = re.compile(r'"[^"\n]{1,300}"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»')
-_REMEMBER = 500_000
+_REMEMBER = 200_000
 
 
 # ---- automata
