@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.storage import kept
+
 IDENTITY = ("ts_nanos", "instance_id", "shard_id", "phys_offset")
 
 
@@ -60,7 +62,7 @@ def numbered(records: DataFrame, keys: tuple[str, ...] = IDENTITY, name: str = "
         .sortWithinPartitions(*keys)
         .withColumn("_m", F.monotonically_increasing_id())
     )
-    placed = _kept(placed)
+    placed = kept(placed)
     part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
     counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     # as many rows as there are partitions
@@ -68,14 +70,6 @@ def numbered(records: DataFrame, keys: tuple[str, ...] = IDENTITY, name: str = "
     return placed.join(F.broadcast(before), part == F.col("_p")).withColumn(name, inside + F.col("_before")).drop("_m", "_p", "_before")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Checkpointed where the session names a folder for it; else as it is (one plan, evaluated twice alike)."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df
-
-
 def numbered_by_window(records: DataFrame, keys: tuple[str, ...] = IDENTITY, name: str = "seq") -> DataFrame:
     """:func:`numbered` by one window: for small results only, as all rows meet in one task."""
     return records.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))

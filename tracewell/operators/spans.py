@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.ids import category, id_text, micros
+from tracewell.functions.storage import kept
 from tracewell.sources.wire import PREFIX
 
 KEY = ["instance_id", "span_id"]
@@ -53,22 +54,20 @@ def tree(spans: DataFrame, root_depth: int = 0) -> DataFrame:
     """(span_id, parent_span_id, depth, root_id) for (span_id, parent_span_id): spans whose parent isn't there are roots.
 
     Pointer doubling: each round every span's ancestor becomes its ancestor's ancestor, so a chain of n
-    takes log2(n) joins, not n.  Spans on a cycle belong to no root and are left out.
+    takes log2(n) joins, not n; it ends when a round moves nothing.  Spans on a cycle belong to no root and
+    are left out.
     """
     ids = spans.select(F.col("span_id").alias("known"))
     at = spans.join(ids, spans.parent_span_id == ids.known, "left").select(
-        "span_id", "parent_span_id", F.coalesce("known", "span_id").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).alias("steps")
+        "span_id", "parent_span_id", F.coalesce("known", "span_id").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("steps")
     )
-    total = spans.count()
-    span, rounds = 1, 0
-    while span < max(total, 1) and rounds < 64:
+    at, climbing, most = kept(at), True, spans.count()
+    reach = 1
+    while climbing and reach < 2 * most:  # on a cycle there is no end to climbing, but no path is longer than all spans
         above = at.select(F.col("span_id").alias("a"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        at = at.join(above, at.up == above.a).select("span_id", "parent_span_id", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"))
-        if spans.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() or spans.sparkSession.conf.get("spark.checkpoint.dir", None):
-            at = at.checkpoint()
-            if at.alias("x").join(at.alias("y"), F.col("x.up") == F.col("y.span_id")).where("y.steps > 0").limit(1).count() == 0:
-                break
-        span, rounds = span * 2, rounds + 1
+        at = kept(at.join(above, at.up == above.a).select("span_id", "parent_span_id", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")))
+        climbing = not at.where("moved").isEmpty()
+        reach *= 2
     roots = at.where("steps = 0").select(F.col("span_id").alias("root_id"))
     return at.join(roots, at.up == roots.root_id).select("span_id", "parent_span_id", (F.col("steps") + root_depth).cast("int").alias("depth"), "root_id")
 
