@@ -317,9 +317,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     whole = F.array(F.struct(F.lit(0), F.col("n_words"), F.col("first"), F.lit(0))).cast(kind)
     none = F.array().cast(kind)
     own = F.when(F.col("copies") > 1, whole).otherwise(none)
-    shared = F.when(F.col("copy") == 1, F.coalesce(F.col("spans").cast(kind), none)).otherwise(none)
+    # a text that others copy whole may be listed as its own source already
+    spans_of = F.coalesce(F.col("spans").cast(kind), none)
+    others = F.when(F.col("copies") > 1, F.filter(spans_of, lambda x: x != whole[0])).otherwise(spans_of)
+    shared = F.when(F.col("copy") == 1, others).otherwise(none)
     return (
         each.join(listed, ["high", "low"], "left")
-        .select("doc_id", F.explode(F.array_union(own, shared)).alias("s"))
+        .select("doc_id", F.explode(F.concat(own, shared)).alias("s"))
         .select("doc_id", F.col("s.start").alias("start_word"), F.col("s.n_words").alias("n_words"), F.col("s.source").alias("source_doc_id"), F.col("s.source_start").alias("source_start"))
     )
