@@ -19,7 +19,7 @@ from tracewell.llm.common import fresh, quoted
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words a worker remembers before it starts anew; bounds memory, changes no result.
-REMEMBER = 200_000
+REMEMBER = 500_000
 #: Characters cut into words at a time; bounds memory, changes no result.
 SLICE_CHARS = 500_000
 
