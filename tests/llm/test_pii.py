@@ -118,3 +118,22 @@ def test_rows_and_columns(spark):
     by = {r.doc_id: r for r in out.collect()}
     assert by[4].n_chars == len("ask [EMAIL]") and by[None].n_chars == 99 and by[1].n_chars is None and by[1].entities == 1
     assert sanitise(docs.limit(0)).count() == 0 and sanitise_in_place(docs.limit(0)).count() == 0
+
+
+def test_terms_of_entities_that_are_all_unique(spark):
+    """At production thresholds: terms of a class, and of a value known from one text, but no common words."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices(["an", "ti", "on", "re", "ou", "lo"], k=3)) for _ in range(100)]
+    rows = []
+    for i in range(2000):
+        body = rng.choices(words, k=40)
+        if i % 20 == 0:
+            body[20:20] = ["mailbox", f"person{i}@mail.example.com"] + ([f"nickname{i}"] if i % 100 == 0 else [])
+        rows.append((i, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term: r.disclosure for r in disclosing_terms(docs).collect()}
+    assert got.keys() == {"mailbox"} | {f"nickname{i}" for i in range(0, 2000, 100)}
+    # one text of one: (1 + p) / (1 + 1)
+    assert got["mailbox"] == 1 and abs(got["nickname100"] - (1 - math.log2((1 + 0.0005) / 2) / math.log2(0.0005))) < 1e-9
+    out = {r.doc_id: r for r in sanitise(docs).collect()}
+    assert "mailbox" not in out[20].text and out[20].removed == 1 and "[EMAIL] [TERM]" in out[100].text

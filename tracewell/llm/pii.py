@@ -15,7 +15,7 @@ from tracewell.llm.common import BROADCAST_BYTES, fresh, quoted, stage
 
 #: Words to either side of an entity in which terms count as occurring with it.
 WINDOW = 12
-#: Different texts that a term must share with an entity before their co-occurrence counts as known.
+#: Different texts that a term must share with an entity before the share counted is taken as it is.
 SUPPORT = 3
 #: Disclosure (share of the entity's information that a term gives away) from which a term is
 #: generalised, and from which it is removed.
@@ -52,6 +52,8 @@ ENTITIES: tuple[tuple[str, str, re.Pattern], ...] = (
 _DIGIT = re.compile(r"\d")
 _HEX = re.compile(r"[0-9a-fA-F]{32}")
 _WORD = re.compile(r"\w+")
+#: Words counted in a task before it hands them on.
+_HELD = 200_000
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -110,22 +112,23 @@ def disclosing_terms(
 ) -> DataFrame:
     """(term, disclosure): the terms that give away at least ``generalise`` of an entity's information.
 
-    All probabilities are shares of the rows of ``docs``.  An entity of probability p carries
-    IC = -log2 p bits; a term that has it within WINDOW words gives away PMI = log2 P(entity, term) /
-    (P(entity) P(term)) of them.  The disclosure is PMI / IC: 1 if the term is never found without the
-    entity.  It is taken over the entities that at least ``support`` different texts have with the term.
+    Entities are the values found and their classes.  All probabilities are shares of the rows of ``docs``.
+    An entity of probability p carries IC = -log2 p bits; a term that has it within WINDOW words gives away
+    PMI = log2 P(entity, term) / (P(entity) P(term)) of them.  The disclosure is PMI / IC: 1 if the term is
+    never found without the entity.  P(entity | term) is the share counted where at least ``support``
+    different texts have both; with fewer it is drawn towards p by the weight of one text, as p of a text
+    more would be expected to have the entity.  The highest disclosure over all entities counts.
     """
     bodies = docs.select(quoted(text).alias("body")).where("body is not null")
-    spark = docs.sparkSession
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = set()
             counts: Counter = Counter()
             for body in batch.column(0).to_pylist():
                 near: dict[str, set[str]] = {}
                 for key, terms in _windows(body):
                     near.setdefault(key, {""}).update(terms)
+                    near.setdefault(key.partition(":")[0], {""}).update(terms)
                 if near:
                     digest = xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass")) >> 1
                     for key, terms in near.items():
@@ -137,37 +140,34 @@ def disclosing_terms(
                 names=["entity", "term", "digest", "n"],
             )
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                for body in batch.column(0).slice(start, 256).to_pylist():
+                    counts.update(set(_WORD.findall(body.lower())))
+                if len(counts) > _HELD:
+                    yield out()
+                    counts.clear()
+        yield out()
+
     found = bodies.mapInArrow(mentions, "entity string, term string, digest long, n long")
     joint = stage(
-        found.groupBy("entity", "term", "digest").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support),
+        found.groupBy("entity", "term", "digest").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")),
         "joint",
     )
-    candidates = joint.where("term != ''").select("term").distinct()
-    frequencies = None
-    for chunk in _chunks(candidates, ["term"]):
-        shared = spark.sparkContext.broadcast(frozenset(t for t, in chunk))
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            wanted, counts = shared.value, Counter()
-            for batch in batches:
-                for body in batch.column(0).to_pylist():
-                    counts.update(wanted.intersection(_WORD.findall(body.lower())))
-            terms = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([counts[t] for t in terms], pa.int64())], names=["term", "n"])
-
-        part = bodies.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-        frequencies = part if frequencies is None else frequencies.unionAll(part)
-    if frequencies is None:
-        return spark.createDataFrame([], "term string, disclosure double")
     rows = docs.count()
+    near = joint.where("term != ''")
+    frequencies = bodies.mapInArrow(words, "term string, n long").join(near.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
     entity = joint.where("term = ''").select("entity", F.col("n").alias("n_entity"))
-    information = F.log2(F.lit(float(rows)) / F.col("n_entity"))
-    scored = (
-        joint.where("term != ''")
-        .join(entity, "entity")
-        .join(frequencies, "term")
-        .withColumn("disclosure", F.when(information > 0, 1 + F.log2(F.col("n") / F.col("n_term")) / information))
-    )
+    p = F.col("n_entity") / F.lit(float(max(rows, 1)))
+    share = F.col("n") / F.col("n_term")
+    given = F.when(F.col("texts") >= support, share).otherwise((F.col("texts") + p) / (F.col("texts") / share + 1))
+    scored = near.join(entity, "entity").join(frequencies, "term").withColumn("disclosure", F.when(p < 1, 1 - F.log2(given) / F.log2(p)))
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
