@@ -128,3 +128,25 @@ def test_groups_are_cut_without_loss(spark, monkeypatch):
     keys = list(range(200))
     monkeypatch.setattr(ivfpq, "LEAST_PROBES", 1000)
     assert collected(ivfpq.approximate_top_k(frame(spark, keys, v), k=3, rerank=100)) == brute(keys, v, 3)
+
+
+def test_approximate_recall_in_long_lists(spark, monkeypatch):
+    """Lists of some hundreds to thousands, and equal vectors by neighbor_id."""
+    monkeypatch.setattr(ivfpq, "LISTS_PER_ROOT", 0.05)
+    v = np.random.default_rng(6).normal(size=(6000, 32)).astype(np.float32)
+    v[1000:1500] = v[1000]
+    order = np.random.default_rng(7).permutation(len(v))
+    docs = frame(spark, order.tolist(), v[order]).repartition(4)
+    got = collected(ivfpq.approximate_top_k(docs))
+    found = {}
+    for key, _, other, _ in got:
+        found.setdefault(key, set()).add(other)
+    x, hits = v.astype(np.float64), []
+    for i in range(0, len(v), 20):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        want = np.lexsort((np.arange(len(v)), d))[:10]
+        hits.append(len(found[i].intersection(want.tolist())) / 10)
+    assert np.mean(hits) >= 0.9
+    equal = range(1000, 1500)
+    assert all(found[i] == set([j for j in range(1000, 1011) if j != i][:10]) for i in equal)

@@ -22,8 +22,10 @@ RECALL, MEASURED, LEAST_PROBES = 0.96, 512, 4
 #: Parts of a residual with a code each, and codes of a part.
 PARTS, CODES = 8, 256
 ROUNDS = 8
-#: Candidates of a list that are reranked by their exact distance, for each result wanted.
+#: Candidates of a list that are reranked by their exact distance at least, for each result wanted.
 RERANK = 6
+#: Share of the true neighbours that may be lost in visited lists by not being reranked.
+LOST = 0.01
 GROUP_QUERIES, GROUP_MEMBERS = 16_384, 32_768
 
 
@@ -90,6 +92,9 @@ class Quantizer:
     def encode(self, v: np.ndarray, lists: np.ndarray) -> np.ndarray:
         return np.stack([_nearest(x, b) for x, b in zip(self.cut(v - self.centers[lists]), self.books)], 1).astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        return self.centers[lists] + np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], 1)[:, : self.dim]
+
     def tables(self, queries: np.ndarray, center: int) -> np.ndarray:
         """(query, part, code): squared distance of the query's residual to each code of each part."""
         return np.stack([squared(x, b) for x, b in zip(self.cut(queries - self.centers[center]), self.books)], 1)
@@ -106,8 +111,16 @@ def train(rows: DataFrame, n: int, dim: int, rounds: int = ROUNDS) -> Quantizer:
     return quantizer
 
 
-def _probes(rows: DataFrame, quantizer: Quantizer, n: int, dim: int, k: int, recall: float) -> int:
-    """Lists to visit: those that hold ``recall`` of the true neighbours of MEASURED vectors."""
+def _codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PARTS)
+
+
+def _calibrated(rows: DataFrame, members: DataFrame, quantizer: Quantizer, dim: int, k: int, recall: float, rerank: int) -> tuple[int, float]:
+    """Lists to visit, and the share of a list to rerank where that is more than ``rerank * k``.
+
+    Measured by brute force for MEASURED vectors: the lists visited hold ``recall`` of their true
+    neighbours, and all but LOST of them are among the candidates reranked.
+    """
     lists = len(quantizer.centers)
     asked = [(r.uid, list(r.v)) for r in rows.orderBy(F.xxhash64(F.lit(13), "v", "uid")).limit(MEASURED).select("uid", "v").toLocalIterator()]
     own, v = np.array([u for u, _ in asked]), np.array([x for _, x in asked], np.float64)
@@ -117,25 +130,73 @@ def _probes(rows: DataFrame, quantizer: Quantizer, n: int, dim: int, k: int, rec
             if not batch.num_rows:
                 continue
             points, uid = matrix(batch.column(1), dim), batch.column(0).to_numpy()
+            of, codes = batch.column(2).to_numpy(), _codes(batch.column(3))
             d = squared(v, points)
             d[own[:, None] == uid] = np.inf
             take = min(k, len(points))
             near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(points) else np.broadcast_to(np.arange(take), d.shape)
-            of = _nearest(points, quantizer.centers)
-            row = np.repeat(np.arange(len(v)), take)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(d[row, near.ravel()]), pa.array(of[near.ravel()])], names=["q", "d", "list"])
-
-    nearest = rows.select("uid", "v").mapInArrow(part, "q long, d double, list long")
-    best = nearest.where("d < double('inf')").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "list"))), 1, k)["list"].alias("lists"))
-    rank = np.argsort(np.argsort(squared(v, quantizer.centers), axis=1), axis=1)
-    needed = [rank[r.q, x] + 1 for r in best.toLocalIterator() for x in r.lists]
-    return min(lists, max(LEAST_PROBES, math.ceil(np.quantile(needed, recall)))) if needed else lists
-
-
-def search_list(quantizer: Quantizer, center: int, v: np.ndarray, own: np.ndarray, codes: np.ndarray, points: np.ndarray, key: np.ndarray, uid: np.ndarray, k: int, rerank: int = RERANK):
-    """The k nearest of a list for each query: candidates by asymmetric distance, order by exact distance."""
+            row, near = np.repeat(np.arange(len(v)), take), near.ravel()
+            rough = distances(v[row], quantizer.decode(codes[near], of[near]))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(d[row, near]), pa.array(of[near]), pa.array(rough)], names=["q", "d", "list", "rough"])
+
+    nearest = members.select("uid", "v", "list", "codes").mapInArrow(part, "q long, d double, list long, rough double")
+    best = nearest.where("d < double('inf')").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "list", "rough"))), 1, k).alias("best"))
+    found = [(r.q, b["list"], b["rough"]) for r in best.toLocalIterator() for b in r.best]
+    if not found:
+        return lists, 1.0
+    q, of, rough = (np.array(x) for x in zip(*found))
+    rank = np.argsort(np.argsort(squared(v, quantizer.centers), axis=1), axis=1)[q, of] + 1
+    probes = min(lists, max(LEAST_PROBES, math.ceil(np.quantile(rank, recall))))
+    visited = np.flatnonzero(rank <= probes)
+    visited = visited[np.argsort(of[visited], kind="stable")]
+    q, of, rough = q[visited], of[visited], rough[visited]
+
+    def nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each neighbour, the members of its list whose codes are nearer to the query than its own."""
+        before = np.zeros(len(of), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(0).to_numpy()
+            points = quantizer.decode(_codes(batch.column(1)), lists)
+            begin, many = np.searchsorted(of, lists), np.searchsorted(of, lists, "right") - np.searchsorted(of, lists)
+            ends = np.cumsum(many)
+            for a in range(0, int(ends[-1]), 65_536):
+                pair = np.arange(a, min(int(ends[-1]), a + 65_536))
+                member = np.searchsorted(ends, pair, "right")
+                target = begin[member] + pair - (ends[member] - many[member])
+                closer = distances(v[q[target]], points[member]) < rough[target] * (1 - 1e-9)
+                before += np.bincount(target[closer], minlength=len(of))
+        some = np.flatnonzero(before)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(before[some])], names=["i", "n"])
+
+    before = np.zeros(len(of), np.int64)
+    for r in members.select("list", "codes").mapInArrow(nearer, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
+        before[r.i] = r.n
+    length = {r.list: r.m for r in members.groupBy("list").agg(F.count(F.lit(1)).alias("m")).toLocalIterator()}
+    share = np.sort(np.where(before + 1 > rerank * k, (before + 1) / np.array([length[x] for x in of.tolist()]), 0.0))
+    return probes, float(share[min(len(share), math.ceil((1 - LOST) * len(share))) - 1])
+
+
+def _first_of_equal(points: np.ndarray, key: np.ndarray, uid: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first ``most`` by (key, uid) of each set of equal vectors; others can be in no result."""
+    same = np.unique((points + 0.0).view(np.dtype((np.void, points.shape[1] * 8))).ravel(), return_inverse=True)[1]
+    return np.sort(firsts(same, np.zeros(len(points)), key, uid, most))
+
+
+def search_list(
+    quantizer: Quantizer, center: int, v: np.ndarray, own: np.ndarray, codes: np.ndarray, points: np.ndarray, key: np.ndarray, uid: np.ndarray, k: int, rerank: int = RERANK, share: float = 0.0
+):
+    """The k nearest of a list for each query: candidates by asymmetric distance, order by exact distance.
+
+    The first ``rerank * k`` or ``share`` of the list, if that is more, are reranked, with all that tie with the last.
+    """
     out = []
-    take = min(len(points), rerank * k)
+    take = max(rerank * k, math.ceil(share * len(points)))
+    if take < len(points):
+        on = _first_of_equal(points, key, uid, k + 1)
+        codes, points, key, uid = codes[on], points[on], key[on], uid[on]
+    take = min(len(points), take)
     for a in range(0, len(v), 256):
         q = v[a : a + 256]
         if take < len(points):
@@ -143,13 +204,12 @@ def search_list(quantizer: Quantizer, center: int, v: np.ndarray, own: np.ndarra
             rough = np.zeros((len(q), len(points)))
             for j in range(PARTS):
                 rough += tables[:, j, :][:, codes[:, j]]
-            near = np.argpartition(rough, take - 1, axis=1)[:, :take]
+            row, p = np.nonzero(rough <= np.partition(rough, take - 1, axis=1)[:, take - 1 : take])
         else:
-            near = np.broadcast_to(np.arange(len(points)), (len(q), len(points)))
-        row, p = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
+            row, p = np.repeat(np.arange(len(q)), len(points)), np.tile(np.arange(len(points)), len(q))
         on = uid[p] != own[a + row]
         row, p = row[on], p[on]
-        d = distances(q[row], points[p])
+        d = np.concatenate([np.empty(0), *(distances(q[row[c : c + 32_768]], points[p[c : c + 32_768]]) for c in range(0, len(row), 32_768))])
         best = firsts(row, d, key[p], uid[p], k)
         out.append((row[best] + a, d[best], key[p[best]], uid[p[best]]))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -160,10 +220,11 @@ def approximate_top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", em
 
     Each vector is in the list of its nearest coarse center, with its residual as product-quantised codes.
     A query visits the lists of the centers nearest to it, orders their members by the sum of its distances
-    to their codes (one table of distances for each part of the residual), and reranks the first
-    ``rerank * k`` of each list by exact distance; ties go by neighbor_id, nulls last.  The number of lists
-    is that with which ``recall`` of the true neighbours are in a visited one.  At the defaults at least 0.9
-    of them are found (tests measure it).  Centers and codebooks are learned from all vectors.
+    to their codes (one table of distances for each part of the residual), and reranks the first of each
+    list by exact distance; ties go by neighbor_id, nulls last.  The number of lists is that with which
+    ``recall`` of the true neighbours are in a visited one; how many of a list are reranked grows with its
+    length, ``rerank * k`` at least, so that all but LOST of those are reranked.  Both are measured.  At
+    the defaults at least 0.9 of the true neighbours are found (tests measure it).  Centers and codebooks are learned from all vectors.
 
     Rows that can't be compared, equal ids and vectors, few or no rows and other columns are dealt with as
     by :func:`tracewell.llm.kdtree.exact_top_k`.
@@ -174,7 +235,6 @@ def approximate_top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", em
         return merged(spark.createDataFrame([], FOUND), k, vec_id)
     quantizer = train(rows, n, dim)
     lists = len(quantizer.centers)
-    probes = _probes(rows, quantizer, n, dim, k, recall)
     shared = spark.sparkContext.broadcast(quantizer)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +258,7 @@ def approximate_top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", em
 
     base = rows.select("uid", "key", "v")
     members = stage(base.mapInArrow(assign, "uid long, key long, v array<float>, list long, codes binary"), "lists")
+    probes, share = _calibrated(rows, members, quantizer, dim, k, recall, rerank)
     visits = base.mapInArrow(route, "uid long, key long, v array<float>, list long")
     left, right = pieces(visits, members, "list", GROUP_QUERIES, GROUP_MEMBERS)
 
@@ -205,8 +266,8 @@ def approximate_top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", em
         if not asked.num_rows or not held.num_rows:
             return result_batch(*[np.empty(0, np.int64)] * 3, np.empty(0), *[np.empty(0, np.int64)] * 2)
         uid, key = asked["uid"].to_numpy(), asked["key"].to_numpy()
-        codes = np.frombuffer(b"".join(held["codes"].to_pylist()), np.uint8).reshape(-1, PARTS)
-        best = search_list(shared.value, asked["list"][0].as_py(), matrix(asked["v"], dim), uid, codes, matrix(held["v"], dim), held["key"].to_numpy(), held["uid"].to_numpy(), k, rerank)
+        codes = _codes(held["codes"])
+        best = search_list(shared.value, asked["list"][0].as_py(), matrix(asked["v"], dim), uid, codes, matrix(held["v"], dim), held["key"].to_numpy(), held["uid"].to_numpy(), k, rerank, share)
         return result_batch(uid, key, *best)
 
     found = left.groupBy("list", "piece").cogroup(right.groupBy("list", "piece")).applyInArrow(search, FOUND)
