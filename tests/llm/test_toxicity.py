@@ -114,3 +114,22 @@ def test_brute_force_scan(spark):
     got = {r.doc_id: r.terms for r in toxicity_scores(docs, lexicon).collect()}
     want = {i: sum(any(edits(w, t) <= allowed_edits(t, False) for t in TERMS) for w in re.findall(r"\w+", x)) for i, x in enumerate(texts)}
     assert got == want
+
+
+def test_words_stay_fuzzy_beside_their_beginnings(spark):
+    """Three spellings with one beginning make a prefix term; the whole words still match misspelled."""
+    rng = random.Random(10)
+    rows, labels = [], []
+    for i in range(400):
+        words = ["".join(rng.choices(["an", "the", "ti", "on", "re", "ou"], k=rng.randint(1, 4))) for _ in range(40)]
+        if i % 4 == 0:
+            words[10:10] = [rng.choice(["clown", "clown", "clowns", "clowny"])]
+            words[20:20] = [rng.choice(["trash", "trash", "trashy", "trashed", "trashing"])]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    lexicon = learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert lexicon.terms["clow"] and lexicon.terms["tras"]
+    match = FuzzyLexicon(lexicon).match
+    assert match("clownish") and match("cl0wn") == ("clown", 1) and match("tr4sh") == ("trash", 1)
+    both = FuzzyLexicon(Lexicon({"clown": True}, whole=frozenset({"clown"})))
+    assert both.match("clownery") == ("clown", 0) and both.match("cl0wn") == ("clown", 1) and both.match("cl0wnery") is None

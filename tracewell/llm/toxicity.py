@@ -57,6 +57,8 @@ class Lexicon:
     exact: frozenset[str] = frozenset()
     #: Weight of a term where it isn't 1.
     weights: dict[str, float] = field(default_factory=dict)
+    #: Beginnings that are terms as whole words too, and so may be misspelled.
+    whole: frozenset[str] = frozenset()
 
 
 def allowed_edits(term: str, exact: bool) -> int:
@@ -88,7 +90,7 @@ class FuzzyLexicon:
                     self.edits.append(0)
                 node = self.children[node][sign]
             self.term[node], self.prefix[node] = term, prefix
-            self.edits[node] = allowed_edits(term, prefix or term in lexicon.exact)
+            self.edits[node] = allowed_edits(term, prefix and term not in lexicon.whole or term in lexicon.exact)
         self.most = [0] * len(self.children)  # edits that some term at or below a node allows
         for node in range(len(self.children) - 1, -1, -1):
             self.most[node] = max([self.edits[node], *(self.most[c] for c in self.children[node].values())])
@@ -272,22 +274,30 @@ def learn_lexicon(
     clean_finds = {(r.term, r.prefix): r.n for r in against.toLocalIterator()}
     terms: dict[str, bool] = {}
     weights: dict[str, float] = {}
+    whole: set[str] = set()
 
     toxic_docs = train.where("toxic = 1").count()
 
     def add(least: float, fewest: float, weight: float | None) -> None:
-        """Terms of at least this precision that no shorter beginning covers, shortest first."""
+        """Terms of at least this precision that no shorter beginning covers, shortest first.
+
+        A strong whole word is a term beside a beginning that covers it, as only whole words match misspelled.
+        """
         for term, prefix in sorted(candidates, key=lambda f: (len(f[0]), not f[1], f[0])):
             contexts = candidates[term, prefix]
             covered = any(terms.get(term[:k]) for k in range(1, len(term) + 1))
-            if contexts >= least * (contexts + clean_finds.get((term, prefix), 0)) and contexts >= fewest and not covered and term not in terms:
+            if contexts >= least * (contexts + clean_finds.get((term, prefix), 0)) and contexts >= fewest:
+                if not prefix and weight is None and terms.get(term):
+                    whole.add(term)
+                if term in terms or covered and (prefix or weight is not None):
+                    continue
                 terms[term] = prefix
                 if weight is not None:
                     weights[term] = weight
 
     add(STRONG, STRONG_SHARE * toxic_docs, None)
     terms |= {t: False for t in seeds if t not in terms and not clean_finds.get((t, False))}
-    fuzzy = FuzzyLexicon(Lexicon(dict(terms)))
+    fuzzy = FuzzyLexicon(Lexicon(dict(terms), whole=frozenset(whole)))
     add(WEAK, 0, WEAK_WEIGHT)
 
     def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +311,7 @@ def learn_lexicon(
     attested = {r.word: r.term for r in clean.mapInArrow(lookalikes, "word string, term string").distinct().toLocalIterator()}
     often = Counter(attested.values())
     exact = frozenset({t for t, n in often.items() if n > LOOKALIKES} | weights.keys())
-    return Lexicon(terms, frozenset(w for w, t in attested.items() if t not in exact), exact, weights)
+    return Lexicon(terms, frozenset(w for w, t in attested.items() if t not in exact), exact, weights, frozenset(whole))
 
 
 # ---- the operator
