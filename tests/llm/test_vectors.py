@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import ivfpq
 from tracewell.llm.kdtree import KdTree, exact_top_k
@@ -99,7 +100,7 @@ def test_asymmetric_distances():
     q = ivfpq.Quantizer(v[:3].copy(), 20)
     q.books = [rng.normal(size=(256, q.width)) for _ in range(ivfpq.PARTS)]
     lists = ivfpq._nearest(v, q.centers)
-    codes = q.encode(v, lists)
+    codes = ivfpq.split(q.encode(v, lists))
     tables = q.tables(v[:5], 1)
     decoded = np.concatenate([b[codes[:, j]] for j, b in enumerate(q.books)], 1)
     padded = np.zeros((5, q.width * ivfpq.PARTS))
@@ -150,3 +151,53 @@ def test_approximate_recall_in_long_lists(spark, monkeypatch):
     assert np.mean(hits) >= 0.9
     equal = range(1000, 1500)
     assert all(found[i] == set([j for j in range(1000, 1011) if j != i][:10]) for i in equal)
+
+
+def test_chosen_queries_ids_of_any_type_and_doubles(spark):
+    """Queries are some rows, against all; string ids break ties in their order, nulls last; doubles stay doubles."""
+    v = np.round(np.random.default_rng(8).normal(size=(400, 3)), 1)
+    v[7] = v[3] + 1e-9
+    keys = [None if i % 50 == 9 else f"id {i * 7919 % 400:04d}" for i in range(400)]
+    docs = spark.createDataFrame([(k, row.tolist(), i) for i, (k, row) in enumerate(zip(keys, v))], "name string, e array<double>, n int")
+    want = []
+    for i in range(0, 400, 10):
+        d = ((v - v[i]) ** 2).sum(1)
+        others = sorted((d[j], keys[j] is None, keys[j] or "") for j in range(400) if j != i)[:4]
+        want += [(keys[i], r + 1, None if null else name, round(float(np.sqrt(x)), 6)) for r, (x, null, name) in enumerate(others)]
+    got = collected(exact_top_k(docs, k=4, vec_id="name", embedding="e", shard_rows=30, chosen=F.expr("n % 10 = 0")))
+    assert got == sorted(want, key=repr)
+    near = collected(ivfpq.approximate_top_k(docs, k=4, vec_id="name", embedding="e", chosen=F.expr("n % 10 = 0")))
+    assert len(near) == len(want) and recall(near, want) >= 0.9
+    assert exact_top_k(docs, vec_id="name", embedding="e", chosen=F.expr("n < 0")).count() == 0
+    assert ivfpq.approximate_top_k(docs, vec_id="name", embedding="e", chosen=F.expr("n < 0")).count() == 0
+    close = spark.createDataFrame([(1, [1.0]), (2, [1.0 + 1e-9]), (3, [1.0 + 2e-10]), ((1 << 63) - 1, [5.0])], "vec_id long, embedding array<double>")
+    assert {(r[0], r[2]) for r in collected(exact_top_k(close, k=1))} == {(1, 3), (2, 3), (3, 1), ((1 << 63) - 1, 2)}
+
+
+def test_shards_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr("tracewell.llm.kdtree.PASS_LEVELS", 2)
+    v = vectors(900, 5, 9)
+    v[100:180] = v[100]
+    keys = list(range(len(v)))
+    assert collected(exact_top_k(frame(spark, keys, v), k=3, shard_rows=12)) == brute(keys, v, 3)
+
+
+def test_search_opens_no_node_beyond_the_kth_distance():
+    v = vectors(2000, 3).astype(np.float64)
+    tree = KdTree(v, leaf_rows=10)
+    opened = []
+    lows = tree.lows
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray):
+                opened.append(len(at))
+            return np.asarray(self)[at]
+
+    tree.lows = lows.view(Counted)
+    ids = np.arange(len(v))
+    got = tree.search(v[:50], ids[:50], np.full(50, np.inf), ids, ids, 3)
+    assert sum(opened) < 50 * len(tree.span) / 5
+    d = ((v[:50, None] - v[None]) ** 2).sum(2)
+    d[ids[:50], ids[:50]] = np.inf
+    assert (np.sort(got[1].reshape(50, 3), 1) == np.sort(d, 1)[:, :3]).all() or np.allclose(got[1].reshape(50, 3), np.sort(d, 1)[:, :3])

@@ -39,6 +39,21 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables whose rows have gone into later ones; other tables are left as they are."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            folder = file.rpartition("/")[0]
+            if "/tracewell/" in folder:
+                delete(table.sparkSession, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
     """``names``, each with a numeric suffix where a column (in any case) has it already."""
     taken, out = {c.lower() for c in columns}, []

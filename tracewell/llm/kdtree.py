@@ -1,16 +1,17 @@
-"""Exact nearest neighbours of every vector by KD-trees over spatial shards."""
+"""Exact nearest neighbours by KD-trees over spatial shards."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import BROADCAST_BYTES, stage
-from tracewell.llm.vectors import FOUND, distances, firsts, matrix, merged, pieces, result_batch, squared, usable
+from tracewell.llm.common import broadcast_if_small, discard, stage
+from tracewell.llm.vectors import FOUND, best_of, distances, firsts, matrix, nothing_found, pieces, ranked, result_batch, squared, usable
 
 K = 10
 #: Vectors a shard has at most, unless they are equal.
@@ -20,6 +21,9 @@ LEAF_ROWS = 96
 BLOCK_QUERIES = 512
 #: Queries that visit a shard in one group.
 VISIT_ROWS = 32_768
+#: Levels of median splits that one pass makes, and vectors of a shard (picked by hash) that its medians come
+#: from.  They only place the cuts: boxes and searches see all vectors.
+PASS_LEVELS, CUT_SAMPLE = 6, 4096
 
 
 def box_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -56,231 +60,267 @@ class KdTree:
                 work += [(a + half, b, node, 1), (a, a + half, node, 0)]
         self.lows, self.highs = (np.array(self.low), np.array(self.high)) if self.span else (np.empty((0, 0)),) * 2
         self.children = np.array(self.child, np.int64).reshape(-1, 2)
-
-    def leaves(self, queries: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, leaf, bound) for all leaves whose box is within the query's limit; subtrees beyond it are left."""
-        rows = np.arange(len(queries))
-        nodes = np.zeros(len(queries), np.int64)
-        out = []
-        while len(rows):
-            bound = box_bounds(queries[rows], self.lows[nodes], self.highs[nodes])
-            on = bound <= limit[rows]
-            rows, nodes, bound = rows[on], nodes[on], bound[on]
-            leaf = self.children[nodes, 0] < 0
-            out.append((rows[leaf], nodes[leaf], bound[leaf]))
-            rows, nodes = np.repeat(rows[~leaf], 2), self.children[nodes[~leaf]].ravel()
-        return tuple(np.concatenate(x) if x else np.empty(0) for x in zip(*out))  # type: ignore[return-value]
-
-    def routed(self, queries: np.ndarray) -> np.ndarray:
-        """The queries' places in an order that keeps those near each other together."""
-        nodes = np.zeros(len(queries), np.int64)
-        live = np.flatnonzero(self.children[nodes, 0] >= 0)
-        while len(live):
-            left, right = self.children[nodes[live]].T
-            q = queries[live]
-            nearer = box_bounds(q, self.lows[left], self.highs[left]) <= box_bounds(q, self.lows[right], self.highs[right])
-            nodes[live] = np.where(nearer, left, right)
-            live = live[self.children[nodes[live], 0] >= 0]
-        return np.argsort(nodes, kind="stable")
+        self.reach = float(np.abs(points).max(initial=0))
 
     def search(self, queries: np.ndarray, own: np.ndarray, limit: np.ndarray, key: np.ndarray, uid: np.ndarray, k: int):
         """The k nearest points of each query within its limit, as (query, distance, key, uid) sorted by query.
 
-        Queries are taken in blocks that bound the memory used, near ones together.
+        ``own`` is the uid of the query, which isn't its own neighbour.
         """
         if not len(queries) or not self.span:
             return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
-        order, parts = self.routed(queries), []
-        for a in range(0, len(order), BLOCK_QUERIES):
-            who = order[a : a + BLOCK_QUERIES]
+        parts = []
+        for a in range(0, len(queries), BLOCK_QUERIES):
+            who = slice(a, a + BLOCK_QUERIES)
             found = self._search_block(queries[who], own[who], limit[who], key, uid, k)
-            parts.append((who[found[0]], *found[1:]))
-        best = [np.concatenate(x) for x in zip(*parts)]
-        by = firsts(*best, k)
-        return tuple(x[by] for x in best)
+            parts.append((found[0] + a, *found[1:]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _search_block(self, queries: np.ndarray, own: np.ndarray, limit: np.ndarray, key: np.ndarray, uid: np.ndarray, k: int):
-        """:meth:`search` for some queries.
+        """:meth:`search` for some queries, all of them one step at a time.
 
-        Best first: each query takes its leaves by rising bound, all queries one leaf in the first round and
-        twice as many in each next; the kth distance so far is its limit from then on, and leaves beyond it
-        are dropped.  ``own`` is the uid of
-        the query, which isn't its own neighbour.
+        Best first: each step takes every query to the node of least bound among those open to it.  An
+        inner node opens its two children, a leaf is compared point by point; nodes beyond the kth distance
+        so far are never opened, and a query is done when its least bound is.
         """
         limit = limit.copy()
-        row, leaf, bound = self.leaves(queries, limit)
-        order = np.lexsort((leaf, bound, row))
-        row, leaf, bound = row[order], leaf[order], bound[order]
-        begin = np.searchsorted(row, np.arange(len(queries) + 1))
-        at, end = begin[:-1].copy(), begin[1:]
+        bounds = np.full((len(queries), len(self.span)), np.inf)
+        bounds[:, 0] = box_bounds(queries, self.lows[:1], self.highs[:1])
         best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
-        norms = float(np.abs(self.points).max(initial=0) + np.abs(queries).max(initial=0)) ** 2 * queries.shape[1] if len(queries) else 0.0
-        slack = 1e-11 * norms
-        live, step = np.flatnonzero(at < end), 1
+        slack = 1e-11 * (self.reach + float(np.abs(queries).max(initial=0))) ** 2 * queries.shape[1]
+        live = np.arange(len(queries))
         while len(live):
-            many = np.minimum(end[live] - at[live], step)
-            places = np.repeat(at[live] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            who_of = np.repeat(live, many)
-            on = bound[places] <= limit[who_of]
-            at[live] += many
-            # bounds only rise: a query whose last leaf of the round is beyond its limit is done
-            done = ~on[np.cumsum(many) - 1]
-            places, who_of = places[on], who_of[on]
-            now = leaf[places]
-            by = np.argsort(now, kind="stable")
-            grouped, now = who_of[by], now[by]
-            cuts = np.flatnonzero(np.concatenate([[True], now[1:] != now[:-1]])) if len(now) else []
+            node = bounds[live].argmin(1)
+            least = bounds[live, node]
+            on = np.isfinite(least) & (least <= limit[live])
+            live, node = live[on], node[on]
+            bounds[live, node] = np.inf
+            inner = self.children[node, 0] >= 0
+            q, c = np.repeat(live[inner], 2), self.children[node[inner]].ravel()
+            b = box_bounds(queries[q], self.lows[c], self.highs[c])
+            near = b <= limit[q]
+            bounds[q[near], c[near]] = b[near]
+            by = np.argsort(node[~inner], kind="stable")
+            who_of, leaf = live[~inner][by], node[~inner][by]
+            cuts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]])) if len(leaf) else []
             new_rows, new_points = [], []
             for i, a in enumerate(cuts):
-                b = cuts[i + 1] if i + 1 < len(cuts) else len(grouped)
-                who = grouped[a:b]
-                first, last = self.span[now[a]]
+                who = who_of[a : cuts[i + 1] if i + 1 < len(cuts) else len(who_of)]
+                first, last = self.span[leaf[a]]
                 members = self.order[first:last]
-                near = squared(queries[who], self.points[members]) <= limit[who][:, None] + slack
-                r, c = np.nonzero(near)
+                r, c = np.nonzero(squared(queries[who], self.points[members]) <= limit[who][:, None] + slack)
                 new_rows.append(who[r])
                 new_points.append(members[c])
-            if new_rows:
-                r, p = np.concatenate(new_rows), np.concatenate(new_points)
-                on = uid[p] != own[r]
-                r, p = r[on], p[on]
-                d = distances(queries[r], self.points[p])
-                on = d <= limit[r]
-                r, p, d = r[on], p[on], d[on]
-                touched = np.zeros(len(queries), bool)
-                touched[r] = True
-                old = touched[best[0]]
-                joined = [np.concatenate([x[old], y]) for x, y in zip(best, (r, d, key[p], uid[p]))]
-                keep = firsts(*joined, k)
-                joined = [x[keep] for x in joined]
-                rest = [x[~old] for x in best]
-                best = tuple(np.concatenate([x, y]) for x, y in zip(rest, joined))
-                counts = np.bincount(joined[0], minlength=len(queries))
-                full = np.flatnonzero(counts == k)
-                last_of = np.cumsum(counts)[full] - 1
-                # ``joined`` is sorted by query, so the kth of a full one is its last
-                limit[full] = np.minimum(limit[full], joined[1][last_of])
-            live = live[~done & (at[live] < end[live])]
-            step *= 2
+            if not new_rows:
+                continue
+            r, p = np.concatenate(new_rows), np.concatenate(new_points)
+            on = uid[p] != own[r]
+            r, p = r[on], p[on]
+            d = distances(queries[r], self.points[p])
+            on = d <= limit[r]
+            r, p, d = r[on], p[on], d[on]
+            touched = np.zeros(len(queries), bool)
+            touched[r] = True
+            old = touched[best[0]]
+            joined = [np.concatenate([x[old], y]) for x, y in zip(best, (r, d, key[p], uid[p]))]
+            keep = firsts(*joined, k)
+            joined = [x[keep] for x in joined]
+            best = tuple(np.concatenate([x[~old], y]) for x, y in zip(best, joined))
+            counts = np.bincount(joined[0], minlength=len(queries))
+            full = np.flatnonzero(counts == k)
+            # ``joined`` is sorted by query, so the kth of a full one is its last
+            limit[full] = np.minimum(limit[full], joined[1][np.cumsum(counts)[full] - 1])
         order = firsts(*best, k)
         return tuple(x[order] for x in best)
 
 
+def _cuts(points: np.ndarray, levels: int) -> tuple[list[int], list[float]]:
+    """Axis and value of each median split, as a heap from place 1 on; -1 where points don't differ."""
+    axes, values = [-1] * (1 << levels), [0.0] * (1 << levels)
+    work = [(1, points)]
+    while work:
+        node, mine = work.pop()
+        if node >= 1 << levels or not len(mine):
+            continue
+        axis = int((mine.max(0) - mine.min(0)).argmax())
+        side = np.sort(mine[:, axis])
+        if side[0] == side[-1]:
+            continue
+        middle = side[(len(side) - 1) // 2]
+        cut = middle if middle < side[-1] else side[np.searchsorted(side, middle) - 1]
+        axes[node], values[node] = axis, float(cut)
+        left = mine[:, axis] <= cut
+        work += [(2 * node, mine[left]), (2 * node + 1, mine[~left])]
+    return axes, values
+
+
 def _shards(rows: DataFrame, dim: int, most: int) -> DataFrame:
-    """(uid, key, v, shard): split at medians of the widest side, level by level, over all rows."""
-    current = stage(rows.select("uid", "key", "v", F.lit(1).cast("long").alias("shard")), "shards")
+    """(uid, key, v, asked, shard): split at medians of the widest side.
+
+    Each pass splits every shard that is too large, by up to PASS_LEVELS levels at once; a shard's parent is
+    its number without the last PASS_LEVELS bits.  Shards of equal vectors stay as large as they are.
+    """
+    spread = 1 << PASS_LEVELS
+    current = stage(rows.select("uid", "key", "v", "asked", F.lit(1).cast("long").alias("shard")), "shards")
+    schema = current.schema
+
+    def cut(table: pa.Table) -> pa.Table:
+        n = table["n"][0].as_py()
+        levels = min(PASS_LEVELS, max(1, math.ceil(math.log2(n / most))))
+        axes, values = _cuts(matrix(table["v"], dim), levels)
+        some = [table["shard"][0].as_py()] if axes[1] >= 0 else []
+        return pa.table({"shard": pa.array(some, pa.int64()), "axes": pa.array([axes] * len(some), pa.list_(pa.int32())), "cuts": pa.array([values] * len(some), pa.list_(pa.float64()))})
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = batch.column(4).to_numpy()
+            to = shard.copy()
+            axes, cuts = batch.column(5), batch.column(6)
+            v = matrix(batch.column(2), dim) if batch.num_rows else None
+            for s in np.unique(shard):
+                mine = np.flatnonzero(shard == s)
+                if not axes[int(mine[0])].is_valid:
+                    continue
+                axis, at = np.array(axes[int(mine[0])].as_py()), np.array(cuts[int(mine[0])].as_py())
+                node = np.ones(len(mine), np.int64)
+                for _ in range(len(axis).bit_length() - 1):
+                    on = axis[node]
+                    # where the sample had nothing to split, all go left
+                    node = 2 * node + ((on >= 0) & (v[mine, on] > at[node]))
+                to[mine] = s * spread + node - len(axis)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(to)], schema=_arrow(batch, schema.names))
+
     while True:
-        boxes = _boxes(current, dim)
-        large = [(s, int((h - l).argmax())) for s, c, l, h in boxes if c > most and (h - l).max() > 0]
-        if not large:
+        large = stage(current.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "large")
+        chance = F.least(F.lit(1.0), F.lit(float(CUT_SAMPLE)) / F.col("n"))
+        sample = current.join(broadcast_if_small(large), "shard").where(F.pmod(F.xxhash64(F.lit(9), "uid"), F.lit(1 << 30)) < chance * (1 << 30))
+        cuts = stage(sample.select("shard", "v", "n").groupBy("shard").applyInArrow(cut, "shard long, axes array<int>, cuts array<double>"), "cuts")
+        if not cuts.limit(1).count():
             return current
-        spark = rows.sparkSession
-        axis = spark.createDataFrame(large, "shard long, axis int")
-        at = F.element_at("v", F.col("axis") + 1)
-        medians = current.join(F.broadcast(axis), "shard").groupBy("shard", "axis").agg(F.percentile_approx(at, 0.5, 1000).alias("median"), F.max(at).alias("top"))
-        # the median goes left unless all would
-        below = current.join(F.broadcast(axis), "shard").join(medians.select("shard", "median", "top"), "shard")
-        lower = below.groupBy("shard").agg(F.max(F.when(at < F.col("top"), at)).alias("next"))
-        cuts = medians.join(lower, "shard").select("shard", "axis", F.when(F.col("median") < F.col("top"), F.col("median")).otherwise(F.col("next")).alias("cut"))
-        cuts = F.broadcast(stage(cuts, "cuts"))
-        side = F.when(F.element_at("v", F.col("axis") + 1) <= F.col("cut"), 0).otherwise(1)
-        moved = current.join(cuts, "shard", "left").select("uid", "key", "v", F.when(F.col("axis").isNull(), F.col("shard")).otherwise(F.col("shard") * 2 + side).alias("shard"))
-        current = stage(moved, "shards")
-
-
-def _boxes(current: DataFrame, dim: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows and tight box of each shard."""
+        moved = current.join(broadcast_if_small(cuts), "shard", "left").select(*schema.names, "axes", "cuts").mapInArrow(route, schema)
+        before, current = current, stage(moved, "shards")
+        discard(before, large, cuts)
+
+
+def _arrow(batch: pa.RecordBatch, names: list[str]) -> pa.Schema:
+    return pa.schema([pa.field(n, batch.schema.field(n).type) for n in names])
+
+
+def _nodes(sharded: DataFrame, dim: int) -> DataFrame:
+    """(parent, uid, leaf, low, high): the tight box of every shard and of all shards under each ancestor."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             shard, v = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
-            for s in np.unique(shard):
-                mine = v[shard == s]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s]), pa.array(np.arange(1)), pa.array([len(mine)]), pa.array([mine.min(0).tolist()]), pa.array([mine.max(0).tolist()])],
-                    names=["shard", "x", "n", "low", "high"],
-                )
+            order = np.argsort(shard, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
+            low, high = (list(f.reduceat(v[order], starts, axis=0)) for f in (np.minimum, np.maximum))
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(shard[order][starts]), pa.array(low, kind), pa.array(high, kind)], names=["shard", "low", "high"])
+
+    boxes = sharded.select("shard", "v").mapInArrow(part, "shard long, low array<double>, high array<double>")
+    sides = boxes.select("shard", F.posexplode(F.arrays_zip("low", "high")).alias("i", "s")).groupBy("shard", "i").agg(F.min("s.low").alias("low"), F.max("s.high").alias("high"))
+    levels = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((i > 0).alias("inner"), F.call_function("shiftright", F.col("shard"), (i * PASS_LEVELS).cast("int")).alias("node"))), lambda x: x["node"] > 0)
+    up = sides.select(F.explode(levels).alias("l"), "i", "low", "high").groupBy("l.node", "i").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("l.inner").alias("inner"))
+    whole = up.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("s"), F.first("inner").alias("inner"))
+    return stage(whole.select(F.shiftright("node", PASS_LEVELS).alias("parent"), F.col("node").alias("uid"), (~F.col("inner")).alias("leaf"), F.col("s.low").alias("low"), F.col("s.high").alias("high")), "nodes")
 
-    boxes = current.select("shard", "v").mapInArrow(part, "shard long, x long, n long, low array<double>, high array<double>")
-    extreme = lambda f, c: F.array(*[f(F.element_at(c, i + 1)) for i in range(dim)]).alias(c)
-    rows = boxes.groupBy("shard").agg(F.sum("n").alias("n"), extreme(F.min, "low"), extreme(F.max, "high"))
-    return [(r.shard, r.n, np.array(r.low), np.array(r.high)) for r in rows.toLocalIterator()]
 
+def _visits(asked: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+    """(uid, shard, bound): the shards besides its own whose box is within a query's limit.
+
+    Goes down the hierarchy of boxes level by level, leaving out whatever lies under a box beyond the limit.
+    """
+    kind = asked.schema["v"].dataType.simpleString()
+    schema = f"uid long, shard long, limit double, v {kind}, parent long, leaf boolean, bound double"
+
+    def expand(left: pa.Table, right: pa.Table) -> pa.Table:
+        v, limit = matrix(left["v"], dim), left["limit"].to_numpy()
+        names = ["uid", "shard", "limit", "v", "parent", "leaf", "bound"]
+        parts = [left.slice(0, 0).select(names[:4]).append_column("parent", pa.array([], pa.int64())).append_column("leaf", pa.array([], pa.bool_())).append_column("bound", pa.array([], pa.float64()))]
+        for node, leaf, low, high in zip(right["uid"].to_pylist(), right["leaf"].to_pylist(), right["low"].to_pylist(), right["high"].to_pylist()):
+            bound = box_bounds(v, np.array(low)[None], np.array(high)[None])
+            on = np.flatnonzero(bound <= limit)
+            got = left.take(pa.array(on)).select(names[:4])
+            for name, column in (("parent", pa.array(np.full(len(on), node))), ("leaf", pa.array(np.full(len(on), leaf))), ("bound", pa.array(bound[on]))):
+                got = got.append_column(name, column)
+            parts.append(got)
+        return pa.concat_tables(parts)
+
+    at, out = asked.select("uid", "shard", "limit", "v", F.lit(1).cast("long").alias("parent")), None
+    while True:
+        left, right = pieces(at, nodes.where("uid != parent"), "parent", VISIT_ROWS, 1 << 20)
+        got = stage(left.groupBy("parent", "piece").cogroup(right.groupBy("parent", "piece")).applyInArrow(expand, schema), "frontier")
+        leaves = got.where("leaf and parent != shard").select("uid", F.col("parent").alias("shard"), "bound")
+        out = leaves if out is None else out.unionAll(leaves)
+        at = got.where("not leaf").select("uid", "shard", "limit", "v", "parent")
+        if not at.limit(1).count():
+            return out
 
-def exact_top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): for every vector its k nearest others, by Euclidean distance.
 
-    Vectors are put into shards by median splits, a KD-tree is built in each, and each vector is looked up
-    first in its own shard, which gives a kth distance, then in just those shards whose tight box is within
-    it.  Equal distances are ordered by neighbor_id, nulls last.  Distances are rounded to six digits.
+def exact_top_k(vectors: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, chosen: Column | None = None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): for every query its k nearest others, by Euclidean distance.
+
+    Queries are the rows that ``chosen`` (a condition on the columns of ``vectors``) holds for, all rows by
+    default; each is compared to all rows.  Vectors are put into shards by median splits, and a KD-tree is
+    built in each.  A query goes to its own shard first; its kth distance so far decides which other shards'
+    tight boxes, met on the way down a hierarchy of boxes, may hold nearer ones.  Those are visited in order
+    of their bounds: one, then two, then four more and so on, each turn with the kth distance that the turn
+    before left.  Equal distances are ordered by neighbor_id, nulls last.  Distances are rounded to six digits.
 
     Rows that can't be compared (null vector; null, NaN or infinite element; another length than most)
     have no neighbours and are none.  A row isn't its own neighbour, but rows with equal ids or vectors
-    are each other's.  A table of fewer than k others gives as many as there are; an empty one no rows;
-    other columns are not looked at.
+    are each other's.  Ids may be of any type that can be ordered.  A table of fewer than k others gives as
+    many as there are; an empty one, or one without queries, no rows; other columns are not looked at.
     """
     spark = vectors.sparkSession
-    rows, n, dim = usable(vectors, vec_id, embedding)
-    if not n:
-        return merged(spark.createDataFrame([], FOUND), k, vec_id)
-    sharded = _shards(rows, dim, shard_rows)
-    boxes = _boxes(sharded, dim)
-
-    def home(table: pa.Table) -> pa.Table:
-        v, uid, key = matrix(table["v"], dim), table["uid"].to_numpy(), table["key"].to_numpy()
-        best = KdTree(v).search(v, uid, np.full(len(v), np.inf), key, uid, k)
-        return result_batch(uid, key, *best)
-
-    found = stage(sharded.groupBy("shard").applyInArrow(home, FOUND), "home")
-    if len(boxes) == 1:
-        return merged(found, k, vec_id)
-    kth = found.select("uid", F.when(F.size("best") >= k, F.element_at("best", -1)["distance"]).otherwise(float("inf")).alias("limit"))
-    seeking = stage(sharded.join(kth, "uid").select("uid", "key", "v", "shard", "limit"), "seeking")
-    per = max(1, BROADCAST_BYTES // (16 * dim + 16))
-    visits = None
-    for i in range(0, len(boxes), per):  # boxes in turns, should they be too many for one broadcast
-        some = boxes[i : i + per]
-        shared = spark.sparkContext.broadcast((np.array([b[0] for b in some]), np.array([b[2] for b in some]), np.array([b[3] for b in some])))
-
-        def targets(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, low, high = shared.value
-            for batch in batches:
-                for a in range(0, batch.num_rows, 2048):
-                    part = batch.slice(a, 2048)
-                    v, own, limit = matrix(part.column(2), dim), part.column(3).to_numpy(), part.column(4).to_numpy()
-                    for s in range(len(ids)):
-                        bound = box_bounds(v, low[s][None], high[s][None])
-                        to = np.flatnonzero((bound <= limit) & (own != ids[s]))
-                        if len(to):
-                            to_rows = pa.array(to)
-                            yield pa.RecordBatch.from_arrays(
-                                [part.column(0).take(to_rows), part.column(1).take(to_rows), part.column(2).take(to_rows), pa.array(np.full(len(to), ids[s])), part.column(4).take(to_rows)],
-                                names=["uid", "key", "v", "shard", "limit"],
-                            )
-
-        part = seeking.mapInArrow(targets, "uid long, key long, v array<float>, shard long, limit double")
-        visits = part if visits is None else visits.unionAll(part)
-    visits = stage(visits, "visits")
-    queries, members = pieces(visits, sharded, "shard", VISIT_ROWS, shard_rows * 4)
+    table = usable(vectors, vec_id, embedding, chosen)
+    dim = table.dim
+    if not table.n:
+        return ranked(spark.createDataFrame([], FOUND), table, vec_id)
+    sharded = _shards(table.rows, dim, shard_rows)
+    asked = sharded.where("asked").drop("asked")
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return result_batch(*[np.empty(0, np.int64)] * 3, np.empty(0), *[np.empty(0, np.int64)] * 2)
-        tree = KdTree(matrix(right["v"], dim))
+            return nothing_found()
         uid, key = left["uid"].to_numpy(), left["key"].to_numpy()
-        best = tree.search(matrix(left["v"], dim), uid, left["limit"].to_numpy(), right["key"].to_numpy(), right["uid"].to_numpy(), k)
+        best = KdTree(matrix(right["v"], dim)).search(matrix(left["v"], dim), uid, left["limit"].to_numpy(), right["key"].to_numpy(), right["uid"].to_numpy(), k)
         return result_batch(uid, key, *best)
 
-    more = queries.groupBy("shard", "piece").cogroup(members.groupBy("shard", "piece")).applyInArrow(visit, FOUND)
-    return merged(found.unionAll(more.where(F.size("best") > 0)), k, vec_id)
-
-
+    def searched(queries: DataFrame) -> DataFrame:
+        left, right = pieces(queries, sharded.select("uid", "key", "v", "shard"), "shard", VISIT_ROWS, shard_rows * 4)
+        return left.groupBy("shard", "piece").cogroup(right.groupBy("shard", "piece")).applyInArrow(visit, FOUND)
+
+    found = stage(best_of(searched(asked.withColumn("limit", F.lit(float("inf")))), k), "found")
+    if sharded.select("shard").distinct().limit(2).count() < 2:
+        return ranked(found, table, vec_id)
+    kth = F.when(F.size("best") >= k, F.element_at("best", -1)["distance"]).otherwise(float("inf"))
+    limits = lambda found: found.select("uid", kth.alias("limit"))
+    visits = _visits(asked.join(limits(found), "uid"), _nodes(sharded, dim), dim)
+    # as many rows a query as there are shards within its first kth distance
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy("bound", "shard"))
+    visits = stage(visits.withColumn("turn", F.floor(F.log2(rank)).cast("int")), "visits")
+    last = visits.agg(F.max("turn")).first()[0]
+    for turn in range(0 if last is None else last + 1):
+        open_to = visits.where(F.col("turn") == turn).join(limits(found), "uid").where("bound <= limit")
+        queries = open_to.join(asked.select("uid", "key", "v"), "uid").select("uid", "key", "v", "shard", "limit")
+        before, found = found, stage(best_of(found.unionAll(searched(queries).where(F.size("best") > 0)), k), "found")
+        discard(before)
+    return ranked(found, table, vec_id)
+
+
+#: What the registered queries ask for: every hundredth id, against all rows.
+HUNDREDTH = "vec_id % 100 = 0"
 ORACLE = """
 WITH v AS (SELECT row_number() OVER () AS u, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
 p AS (
   SELECT a.u, a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d,
          row_number() OVER (PARTITION BY a.u ORDER BY list_distance(a.e, b.e), b.vec_id) AS r
   FROM v a JOIN v b ON a.u <> b.u
+  WHERE a.vec_id % 100 = 0
 )
 SELECT vec_id, CAST(r AS INTEGER) AS rank, neighbor_id, round(d, 6) AS distance FROM p WHERE r <= 10
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.llm import ivfpq, kdtree, licenses
 from tracewell.llm.bpe import bpe_encode
@@ -25,7 +26,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kdtree.exact_top_k(_table(spark, sf_dir, "embeddings"))
+    return kdtree.exact_top_k(_table(spark, sf_dir, "embeddings"), chosen=F.expr(kdtree.HUNDREDTH))
 
 
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ivfpq.approximate_top_k(_table(spark, sf_dir, "embeddings"))
+    return ivfpq.approximate_top_k(_table(spark, sf_dir, "embeddings"), chosen=F.expr(kdtree.HUNDREDTH))
 
 
 def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,69 @@
-"""What the two vector searches share: usable rows, Arrow to numpy, and merging of partial results."""
+"""What the two vector searches share: usable rows, ids of any type, Arrow to numpy, partial results."""
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import broadcast_if_small, quoted, stage
+from tracewell.operators.sets import numbered
 
 #: Stands for a null id where ids decide between equal distances.
 LAST = (1 << 63) - 1
 FOUND = "uid long, key long, best array<struct<distance: double, key: long, uid: long>>"
 
 
-def usable(df: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int, int]:
-    """A staged table (uid, key, v) of the rows that can be compared; their number and dimension.
+@dataclass
+class Vectors:
+    """Staged rows (uid, key, v, asked); ``names`` has the id of each key where keys aren't the ids themselves."""
 
-    Left out are null vectors, those with a null, infinite or NaN element, and those of another length
-    than most have (the longer length if two are as frequent).
+    rows: DataFrame
+    n: int
+    dim: int
+    kind: T.DataType
+    names: DataFrame | None = None
+
+    def ids(self, found: DataFrame, *columns: str) -> DataFrame:
+        """``found`` with the keys in the columns named turned back into ids."""
+        for c in columns:
+            if self.names is None:
+                found = found.withColumn(c, F.when(F.col(c) != LAST, F.col(c)).cast(self.kind))
+            else:
+                found = found.join(broadcast_if_small(self.names.withColumnRenamed("key", c)), c, "left").drop(c).withColumnRenamed("name", c)
+        return found
+
+
+def usable(df: DataFrame, vec_id: str, embedding: str, chosen: Column | None = None) -> Vectors:
+    """The rows that can be compared; ``asked`` marks those that ``chosen`` holds for (all by default).
+
+    Elements are compared as doubles, or as floats where that is their type.  Left out are null vectors,
+    those with a null, infinite or NaN element, and those of another length than most have (the longer
+    length if two are as frequent).  Keys are numbers in the order of the ids, nulls last: whole numbers
+    are their own keys, ids of other types get theirs by sorting the distinct ones.
     """
-    v = F.transform(quoted(embedding), lambda x: x.cast("float"))
+    element = getattr(df.schema[embedding].dataType, "elementType", None)
+    kind = "float" if isinstance(element, T.FloatType) else "double"
+    v = F.transform(quoted(embedding), lambda x: x.cast(kind))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.coalesce(quoted(vec_id).cast("long"), F.lit(LAST)).alias("key"), v.alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & ~odd)
+    ask = F.lit(True) if chosen is None else F.coalesce(chosen, F.lit(False))
+    rows = df.select(quoted(vec_id).alias("name"), v.alias("v"), ask.alias("asked")).where(F.col("v").isNotNull() & (F.size("v") > 0) & ~odd)
+    of = df.schema[vec_id].dataType
+    whole = isinstance(of, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    names = None
+    if whole and not (isinstance(of, T.LongType) and rows.where(F.col("name") == LAST).limit(1).count()):
+        rows = rows.select(F.coalesce(F.col("name").cast("long"), F.lit(LAST)).alias("key"), "v", "asked")
+    else:
+        names = stage(numbered(rows.select("name").where("name is not null").distinct(), ("name",), "key"), "names").select("key", "name")
+        rows = rows.join(broadcast_if_small(names), "name", "left").select(F.coalesce("key", F.lit(LAST)).alias("key"), "v", "asked")
     rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if sizes is None:
-        return rows, 0, 0
-    return rows.where(F.size("v") == sizes[0]), int(sizes[1]), int(sizes[0])
+    n, dim = (int(sizes[1]), int(sizes[0])) if sizes else (0, 0)
+    return Vectors(rows.where(F.size("v") == dim).select("uid", "key", "v", "asked"), n, dim, of, names)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -69,14 +103,21 @@ def result_batch(uids: np.ndarray, keys: np.ndarray, owner: np.ndarray, distance
     return pa.table({"uid": pa.array(uids, pa.int64()), "key": pa.array(keys, pa.int64()), "best": pa.ListArray.from_arrays(pa.array(offsets), inner)})
 
 
-def merged(found: DataFrame, k: int, vec_id: str = "vec_id") -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest of all partial results of each query."""
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
-    flat = found.groupBy("uid", "key").agg(best.alias("best")).select("key", F.posexplode("best").alias("p", "b"))
-    null = lambda c: F.when(c != LAST, c)
-    return flat.select(
-        null(F.col("key")).alias(vec_id), (F.col("p") + 1).cast("int").alias("rank"), null(F.col("b.key")).alias("neighbor_id"), F.round(F.sqrt("b.distance"), 6).alias("distance")
-    )
+def nothing_found() -> pa.Table:
+    return result_batch(*[np.empty(0, np.int64)] * 3, np.empty(0), *[np.empty(0, np.int64)] * 2)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """FOUND rows, one a query: the k first of all its partial results."""
+    return found.groupBy("uid", "key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+
+def ranked(best: DataFrame, vectors: Vectors, vec_id: str) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance) of FOUND rows, one a query."""
+    flat = best.select("key", F.posexplode("best").alias("p", "b"))
+    out = flat.select(F.col("key").alias("q_key"), (F.col("p") + 1).cast("int").alias("rank"), F.col("b.key").alias("n_key"), F.round(F.sqrt("b.distance"), 6).alias("distance"))
+    out = vectors.ids(out, "q_key", "n_key")
+    return out.select(F.col("q_key").alias(vec_id), "rank", F.col("n_key").alias("neighbor_id"), "distance")
 
 
 def pieces(queries: DataFrame, members: DataFrame, key: str, most_queries: int, most_members: int) -> tuple[DataFrame, DataFrame]:
@@ -94,8 +135,5 @@ def pieces(queries: DataFrame, members: DataFrame, key: str, most_queries: int,
     theirs = F.pmod(F.xxhash64(F.lit(4), "uid"), F.col("qp").cast("long")).cast("int")
     left = queries.join(cut, key).withColumn("part", spread("mp")).withColumn("piece", theirs * F.col("mp") + F.col("part")).drop("mp", "qp", "part")
     right = members.join(cut, key).withColumn("part", spread("qp")).withColumn("piece", F.col("part") * F.col("mp") + mine).drop("mp", "qp", "part")
-    return left, right
-
-
-def parts_for(rows: int, dim: int, least: int, target: int = 32 << 20) -> int:
-    return max(least, math.ceil(rows * (dim * 4 + 32) / target))
+    # both may come from one table: new columns, so that a cogroup can tell them apart
+    return left.select(*[F.col(c).alias(c) for c in left.columns]), right
