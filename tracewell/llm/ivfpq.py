@@ -182,11 +182,11 @@ def _calibrated(table: Vectors, members: DataFrame, quantizer: Quantizer, k: int
     first = lambda c: F.slice(F.array_sort(c), 1, k).alias("best")
     found = found.groupBy("q", F.pmod("uid", F.lit(64)).alias("salt")).agg(first(F.collect_list(F.struct("d", "key", "uid")))).groupBy("q").agg(first(F.flatten(F.collect_list("best"))))
     truth = stage(found.select("q", F.explode("best.uid").alias("uid")), "truth")
-    near = members.join(F.broadcast(truth), "uid").select("q", "list", "codes").toPandas()  # MEASURED * k rows
-    if not len(near):
+    near = members.join(F.broadcast(truth), "uid").select("q", "list", "codes").collect()  # MEASURED * k rows
+    if not near:
         return lists, rerank * k
-    q, of = near["q"].to_numpy(), near["list"].to_numpy()
-    rough = distances(v[q], quantizer.decode(near["codes"].to_numpy(), of))
+    q, of, codes = np.array([tuple(r) for r in near], np.int64).T
+    rough = distances(v[q], quantizer.decode(codes, of))
     rank = np.argsort(np.argsort(squared(v, quantizer.centers), axis=1), axis=1)
     probes = min(lists, max(LEAST_PROBES, math.ceil(np.quantile(rank[q, of] + 1, recall))))
     visited = rank < probes

@@ -249,7 +249,7 @@ def _visits(asked: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
             parts.append(got)
         return pa.concat_tables(parts)
 
-    at, out = asked.select("uid", "shard", "limit", "v", F.lit(1).cast("long").alias("parent")), None
+    at, out = asked.select("uid", "shard", "limit", "v", F.least(F.col("shard"), F.lit(1).cast("long")).alias("parent")), None
     while True:
         left, right = pieces(at, nodes.where("uid != parent"), "parent", VISIT_ROWS, 1 << 20)
         got = stage(left.groupBy("parent", "piece").cogroup(right.groupBy("parent", "piece")).applyInArrow(expand, schema), "frontier")

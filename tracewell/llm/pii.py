@@ -6,12 +6,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import BROADCAST_BYTES, fresh, quoted, stage
+from tracewell.llm.common import BROADCAST_BYTES, fresh, quoted, stage, total_bytes
 
 #: Words to either side of an entity in which terms count as occurring with it.
 WINDOW = 12
@@ -23,10 +24,21 @@ GENERALISE, REMOVE = 0.9, 0.97
 GENERAL = "[TERM]"
 
 _SEP = r"[^\w\n]{0,5}"
+#: White space within a key, which source code may write as escapes.
+_GAP = r"(?:\s|\\[nrt])*"
+_END = r"-----END [A-Z ]*PRIVATE KEY-----"
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|\d{1,2})"
 #: What counts as a protected entity: class, the sign a text must have, and pattern, in order of precedence.
 ENTITIES: tuple[tuple[str, str, re.Pattern], ...] = (
-    ("KEY", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)),
+    (
+        "KEY",
+        "-----BEGIN",
+        # as far as header fields, base 64 and the end mark go; a mark without any of them is no key
+        re.compile(
+            rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_GAP}(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*)*"
+            rf"(?:{_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}})*(?:(?:{_GAP}[A-Za-z0-9+/]{{1,80}}={{0,2}})?{_GAP}{_END}|(?<=[A-Za-z0-9+/=]{{16}})(?:{_GAP}[A-Za-z0-9+/]{{1,80}}={{1,2}})?)"
+        ),
+    ),
     ("EMAIL", "@", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")),
     (
         "SECRET",
@@ -49,16 +61,31 @@ ENTITIES: tuple[tuple[str, str, re.Pattern], ...] = (
         ),
     ),
 )
-_DIGIT = re.compile(r"\d")
-_HEX = re.compile(r"[0-9a-fA-F]{32}")
+#: Every pattern's match holds one of these, so that texts without any are left alone.
+_LIKELY = re.compile(r"\d|@|-----BEGIN|AKIA|eyJ|[0-9a-fA-F]{32}|(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abprs])[-_]")
 _WORD = re.compile(r"\w+")
 #: Words counted in a task before it hands them on.
 _HELD = 200_000
 
 
+def luhn(number: str) -> bool:
+    """Whether the check digit of a card number is right."""
+    digits = [int(d) for d in re.findall(r"\d", number)]
+    return not sum(d if not i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10
+
+
+def mod_97(account: str) -> bool:
+    """Whether the check digits of an international account number are right."""
+    plain = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+_CHECKS = {"CARD": luhn, "IBAN": mod_97}
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, class) of the protected entities of a text, in order, none overlapping."""
-    if "@" not in text and not _DIGIT.search(text) and "-----BEGIN" not in text and not _HEX.search(text):
+    if not _LIKELY.search(text):
         return []
     found: list[tuple[int, int, str]] = []
     for kind, sign, pattern in ENTITIES:
@@ -67,7 +94,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         # only what earlier classes left: a pattern must not run on into their entities
         bounds = [0, *(x for a, b, _ in sorted(found) for x in (a, b)), len(text)]
         for begin, end in zip(bounds[::2], bounds[1::2]):
-            found += [(*m.span(), kind) for m in pattern.finditer(text, begin, end)]
+            found += [(*m.span(), kind) for m in pattern.finditer(text, begin, end) if kind not in _CHECKS or _CHECKS[kind](m.group())]
     return sorted(found)
 
 
@@ -94,19 +121,6 @@ def _windows(text: str) -> Iterator[tuple[str, set[str]]]:
         yield entity_key(kind, text[a:b]), {w for _, w in free[max(0, i - WINDOW) : i + WINDOW]}
 
 
-def _chunks(terms: DataFrame, columns: list[str]) -> Iterator[list[tuple]]:
-    """The rows of a table in pieces small enough to broadcast, however large it is."""
-    held, size = [], 0
-    for row in terms.select(*columns).toLocalIterator():
-        held.append(tuple(row))
-        size += len(row[0]) + 60
-        if size > BROADCAST_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def disclosing_terms(
     docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE
 ) -> DataFrame:
@@ -171,15 +185,20 @@ def disclosing_terms(
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def sanitised(text: str, remove: frozenset[str], general: frozenset[str], done: tuple[int, int, int] = (0, 0, 0)) -> tuple[str, int, int, int]:
+def _classed(text: str, found: list[tuple[int, int, str]] | None = None) -> str:
+    """The text with its entities generalised to their classes."""
+    parts, at = [], 0
+    for a, b, kind in entities(text) if found is None else found:
+        parts += [text[at:a], f"[{kind}]"]
+        at = b
+    return "".join([*parts, text[at:]])
+
+
+def sanitised(text: str, remove: frozenset[str], general: frozenset[str]) -> tuple[str, int, int, int]:
     """The text with entities generalised to their class and disclosing terms generalised or removed."""
     found = entities(text)
     if found:
-        parts, at = [], 0
-        for a, b, kind in found:
-            parts += [text[at:a], f"[{kind}]"]
-            at = b
-        text = "".join([*parts, text[at:]])
+        text = _classed(text, found)
     n_general = n_removed = 0
     if remove or general:
         here = set(_WORD.findall(text.lower()))
@@ -200,19 +219,26 @@ def sanitised(text: str, remove: frozenset[str], general: frozenset[str], done:
                 return m.group()
 
             text = re.sub(r"( ?)(\w+)", swap, text)
-    return text, done[0] + len(found), done[1] + n_general, done[2] + n_removed
+    return text, len(found), n_general, n_removed
 
 
 _RESULT = "struct<text: string, entities: int, generalised: int, removed: int>"
 
 
 def _cleaner(shared):
+    """Sanitises texts by the terms broadcast, or by each row's own list of them (``word -`` for one to remove)."""
+
     @F.arrow_udf(_RESULT)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        removed, general = shared.value
-        for texts, *before in batches:
-            done = zip(*[b.to_pylist() for b in before])
-            rows = [(None, 0, 0, 0) if t is None else sanitised(t, removed, general, d) for t, d in zip((x.as_py() for x in texts), done)]
+        removed, general = shared.value if shared is not None else (frozenset(), frozenset())
+        for texts, own in batches:
+            rows = []
+            for i, t in enumerate(texts):
+                if shared is None:
+                    mine = own[i].as_py() or []
+                    removed = frozenset(x[1:] for x in mine if x[0] == "-")
+                    general = frozenset(x[1:] for x in mine if x[0] == "+")
+                rows.append((None, 0, 0, 0) if not t.is_valid else sanitised(t.as_py(), removed, general))
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32())
             parts = zip(*rows) if rows else [()] * 4
             yield pa.StructArray.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds)], ["text", "entities", "generalised", "removed"])
@@ -220,21 +246,73 @@ def _cleaner(shared):
     return run
 
 
-def _clean(body: Column, docs: DataFrame, terms: DataFrame, remove: float) -> Column:
-    """The sanitised text and its counts; terms beyond what may be broadcast are taken in turns."""
-    spark = docs.sparkSession
-    result, counts = None, [F.lit(0), F.lit(0), F.lit(0)]
-    for shared in list(_broadcasts(spark, terms, remove)) or [spark.sparkContext.broadcast((frozenset(), frozenset()))]:
-        if result is not None:
-            body, counts = result["text"], [result[n] for n in ("entities", "generalised", "removed")]
-        result = _cleaner(shared)(body, *counts)
-    return result
+class Bloom:
+    """Words that may be in a set, in a fixed number of bytes; none of the set is missed."""
+
+    def __init__(self, size: int) -> None:
+        self.bits = np.zeros(size, np.uint8)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return np.stack([(h + np.uint64(i) * step) % np.uint64(8 * len(self.bits)) for i in range(4)])
 
+    def add(self, words: list[str]) -> None:
+        at = self._places(words).ravel()
+        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-def _broadcasts(spark, terms: DataFrame, remove: float):
-    for chunk in _chunks(terms, ["term", "disclosure"]):
-        gone = frozenset(t for t, d in chunk if d >= remove)
-        yield spark.sparkContext.broadcast((gone, frozenset(t for t, _ in chunk) - gone))
+    def has(self, words: list[str]) -> np.ndarray:
+        at = self._places(words)
+        return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(0)
+
+
+def _with_clean(docs: DataFrame, text: str, terms: DataFrame, remove: float, name: str) -> DataFrame:
+    """``docs`` with a column of the sanitised text and its counts.
+
+    Terms that may be broadcast are.  More of them are joined: a Bloom filter of BROADCAST_BYTES, made in
+    the tasks, picks each text's words that may be terms, which meet the terms by word and come back to their
+    row as a list.  The corpus is read as often either way.
+    """
+    spark = docs.sparkSession
+    rows, size = total_bytes(terms)
+    if size + 60 * rows <= BROADCAST_BYTES:
+        held = [tuple(r) for r in terms.select("term", "disclosure").collect()]
+        gone = frozenset(t for t, d in held if d >= remove)
+        shared = spark.sparkContext.broadcast((gone, frozenset(t for t, _ in held) - gone))
+        return docs.withColumn(name, _cleaner(shared)(quoted(text), F.lit(None).cast("array<string>")))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = Bloom(BROADCAST_BYTES)
+        for batch in batches:
+            if batch.num_rows:
+                bloom.add(batch.column(0).to_pylist())
+        at = np.flatnonzero(bloom.bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bloom.bits[at].astype(np.int32))], names=["at", "bits"])
+
+    bloom = Bloom(BROADCAST_BYTES)
+    bytes_of = terms.select("term").mapInArrow(fill, "at long, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    for r in bytes_of.toLocalIterator():  # BROADCAST_BYTES rows at most
+        bloom.bits[r["at"]] = r["bits"]
+    shared = spark.sparkContext.broadcast(bloom)
+    uid, word, own = fresh(docs.columns, "uid", "word", "own")
+    numbered = stage(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids: list[int] = []
+            words: list[str] = []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                here = list(set(_WORD.findall(_classed(body).lower()))) if body else []
+                if here:
+                    here = [here[j] for j in np.flatnonzero(shared.value.has(here))]
+                    words += here
+                    ids += [i] * len(here)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(words, pa.string())], names=["uid", "word"])
+
+    marked = terms.select(F.col("term").alias("word"), F.concat(F.when(F.col("disclosure") >= remove, "-").otherwise("+"), F.col("term")).alias("mark"))
+    hits = numbered.select(quoted(uid).alias("uid"), quoted(text).alias("body")).mapInArrow(likely, "uid long, word string").join(marked, "word")
+    lists = stage(hits.groupBy("uid").agg(F.collect_list("mark").alias("marks")), "hits").select(F.col("uid").alias(uid), F.col("marks").alias(own))
+    return numbered.join(lists, uid, "left").withColumn(name, _cleaner(None)(quoted(text), quoted(own))).drop(uid, own)
 
 
 def sanitise(
@@ -257,18 +335,23 @@ def sanitise(
     no rows; other columns are not looked at.
     """
     terms = stage(disclosing_terms(docs, text, support, generalise), "terms")
-    out = docs.select(quoted(doc_id).alias("doc_id"), _clean(quoted(text), docs, terms, remove).alias("s"))
+    out = _with_clean(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("body")), "body", terms, remove, "s")
     return out.select("doc_id", "s.text", "s.entities", "s.generalised", "s.removed")
 
 
 def sanitise_in_place(
     docs: DataFrame, text: str = "text", n_chars: str = "n_chars", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with the text of :func:`sanitise`, and its length in ``n_chars`` if there is one."""
+    """All rows and columns of ``docs`` with the text of :func:`sanitise`, and its length in ``n_chars`` if there is one.
+
+    A null text stays null and an empty one empty, and ``n_chars`` stays as it was where the text does (null
+    included); texts of any length are read whole; repeated rows are sanitised alike and all stay; an empty
+    table gives no rows; other columns, whatever their names, stay as they are.
+    """
     terms = stage(disclosing_terms(docs, text, support, generalise), "terms")
     (name,) = fresh(docs.columns, "clean")
-    out = docs.withColumn(name, _clean(quoted(text), docs, terms, remove)["text"])
-    new = quoted(name)
+    out = _with_clean(docs, text, terms, remove, name)
+    new = quoted(name)["text"]
     columns = []
     for c in docs.columns:
         if c == text:
