@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -74,3 +75,34 @@ def test_rows(spark, pair):
     decoded = bpe.bpe_decode(got, path)
     assert {(r.doc_id, r.text) for r in decoded.collect()} == {(a, b) for a, b, _ in rows}
     assert bpe.bpe_encode(docs.limit(0), path).count() == 0
+
+
+def test_very_long_words(pair):
+    """A word of a million letters takes seconds; the heap gives what plain merging gives."""
+    mine, oracle, _ = pair
+    rng = random.Random(4)
+    letters = "".join(rng.choices("aeinrstou", k=3000))
+    assert mine.encode([letters])[0].tolist() == oracle.encode_ordinary(letters)
+    for n in (65, 70, 200, 333):
+        word = "".join(rng.choices("abth", k=n)).encode()
+        parts = [word[i : i + 1] for i in range(n)]
+        while True:
+            ranked = [(mine.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in mine.ranks]
+            if not ranked:
+                break
+            i = min(ranked)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.merged(word, mine.ranks) == [mine.ranks[p] for p in parts]
+    start = time.perf_counter()
+    many = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    ids, counts = mine.encode([many])
+    assert mine.decode(ids, counts) == [many.encode()] and time.perf_counter() - start < 60
+
+
+def test_pairs_are_forgotten(pair, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER_PAIRS", 5)
+    mine, oracle, _ = pair
+    text = "speculatively unbelievable tokenisations of antidisestablishmentarian wordings"
+    for cut in (text, text[::-1], text.upper()):
+        assert mine.encode([cut])[0].tolist() == oracle.encode_ordinary(cut)
+    assert len(mine.pairs) < 200

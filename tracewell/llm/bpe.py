@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -20,6 +21,10 @@ from tracewell.llm.common import fresh, quoted
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words a worker remembers before it starts anew; bounds memory, changes no result.
 REMEMBER = 500_000
+#: Pairs whose verdict a worker remembers, likewise.
+REMEMBER_PAIRS = 2_000_000
+#: Bytes beyond which a word is merged with a heap.
+LONG_WORD = 64
 #: Characters cut into words at a time; bounds memory, changes no result.
 SLICE_CHARS = 500_000
 
@@ -57,6 +62,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Exact encoding: merge the adjacent pair of lowest rank, leftmost first, while there is one."""
+    if len(word) > LONG_WORD:
+        return _merged_long(word, ranks)
     parts = [word[i : i + 1] for i in range(len(word))]
     none = 1 << 62
     gains = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
@@ -74,6 +81,28 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """:func:`merged` with a heap of pairs and links between neighbours: n log n steps for n bytes."""
+    n = len(word)
+    end = list(range(1, n + 1))  # of the part that begins at a place; 0 where none does
+    before = list(range(-1, n - 1))
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, to = heapq.heappop(heap)
+        middle = end[i]
+        if not middle or middle >= n or end[middle] != to:
+            continue  # one of the two was merged since
+        end[i], end[middle] = to, 0
+        if to < n:
+            before[to] = i
+            if (rank := ranks.get(word[i : end[to]])) is not None:
+                heapq.heappush(heap, (rank, i, end[to]))
+        if (left := before[i]) >= 0 and (rank := ranks.get(word[left:to])) is not None:
+            heapq.heappush(heap, (rank, left, to))
+    return [ranks[word[i : end[i]]] for i in range(n) if end[i]]
+
+
 class SpeculativeBpe:
     """Encoder of words: greedy longest match, a check of adjacent pairs, exact merging of the rest.
 
@@ -121,6 +150,8 @@ class SpeculativeBpe:
     def _verdicts(self, keys: np.ndarray) -> np.ndarray:
         """Whether each pair (left * size + right) is what merging gives; unknown ones are worked out."""
         wanted, back = np.unique(keys, return_inverse=True)
+        if len(self.pairs) > REMEMBER_PAIRS:
+            self.pairs, self.fits = self.pairs[:0], self.fits[:0]
         at = np.searchsorted(self.pairs, wanted)
         known = np.zeros(len(wanted), bool)
         inside = at < len(self.pairs)
@@ -271,9 +302,10 @@ def bpe_decode(encoded: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "
         encoder = SpeculativeBpe(shared.value)
         for batch in batches:
             lists = batch.column(place)
-            counts = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+            valid = lists.is_valid().to_pylist()
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             raw = encoder.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
-            out = [r.decode("utf-8", "replace") if x.is_valid else None for r, x in zip(raw, lists)]
+            out = [r.decode("utf-8", "replace") if v else None for r, v in zip(raw, valid)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, name])
 
     return encoded.select(*[F.col(f"`{c}`") for c in encoded.columns]).mapInArrow(run, schema)

@@ -73,18 +73,16 @@ def quoted(name: str) -> Column:
 
 
 def hashable(df: DataFrame) -> list[Column]:
-    """The columns that xxhash64 takes (maps are the exception), names in order."""
+    """All columns as xxhash64 takes them: those with maps or variants in them by their JSON."""
 
     def ok(kind: T.DataType) -> bool:
-        if isinstance(kind, T.MapType):
-            return False
         if isinstance(kind, T.ArrayType):
             return ok(kind.elementType)
         if isinstance(kind, T.StructType):
             return all(ok(f.dataType) for f in kind.fields)
-        return type(kind).__name__ not in ("VariantType",)
+        return not isinstance(kind, (T.MapType, T.VariantType))
 
-    return [quoted(f.name) for f in df.schema.fields if ok(f.dataType)]
+    return [quoted(f.name) if ok(f.dataType) else F.to_json(F.struct(quoted(f.name).alias("c"))) for f in df.schema.fields]
 
 
 def row_bytes(df: DataFrame) -> Column:
