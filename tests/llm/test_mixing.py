@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tracewell.llm import mixing
 from tracewell.llm.mixing import TEMPER, mix, mixed_copies, mixing_rates
 
 
@@ -81,3 +82,26 @@ def test_edge_rows(spark):
     assert mixed_copies(docs.limit(0)).count() == 0 and mix(docs.limit(0)).count() == 0
     only_empty = docs.where("text is null or text = ''")
     assert mix(only_empty).count() == 2
+
+
+def test_many_sources_and_many_languages(spark, monkeypatch):
+    """Far more sources than a dense system would take; languages by conjugate gradients as by the whole Hessian."""
+    rng = random.Random(3)
+    data = [(i, "w " * rng.randint(1, 60), f"l{rng.randrange(12)}", f"s{i % 5200}") for i in range(12_000)]
+    docs = docs_of(spark, data).selectExpr("source", "lang", "cast(size(split(trim(text), ' ')) as long) as tokens")
+    total = docs.selectExpr("sum(tokens)").first()[0]
+    targets = {"lang": {"l0": 2, "l1": 1, "l2": 1}}
+    want = {(r.source, r.lang, r.band): r for r in mixing_rates(docs, targets, budget=total).collect()}
+    assert len({k[0] for k in want}) == 5200
+    lang = lambda v: sum(r.rate * r.tokens for r in want.values() if r.lang == v)
+    assert abs(lang("l0") - 2 * lang("l1")) < 1e-4 * total and abs(lang("l1") - lang("l2")) < 1e-4 * total
+    assert abs(sum(r.rate * r.tokens for r in want.values()) - total) < 1e-6 * total
+    monkeypatch.setattr(mixing, "DENSE", 0)
+    got = {(r.source, r.lang, r.band): r.rate for r in mixing_rates(docs, targets, budget=total).collect()}
+    assert all(abs(got[k] - r.rate) < 1e-4 * r.rate for k, r in want.items())
+
+
+def test_targets_that_contradict(spark):
+    docs = spark.createDataFrame([("a", "en", 10), ("b", "de", 10)], "source string, lang string, tokens long")
+    with pytest.warns(UserWarning, match="not met"):
+        mixing_rates(docs, {"source": {"a": 3, "b": 1}, "lang": {"en": 1, "de": 3}}, budget=20)
