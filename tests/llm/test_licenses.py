@@ -40,13 +40,13 @@ def test_variants_match_and_changed_words_dont(name):
     automaton, pattern = TokenAutomaton(items), re.compile(as_regex(items))
     for _ in range(20):
         words = variant(rng, items)
-        assert automaton.longest(words, 0) == len(words)
+        assert automaton.accepts(words)
         run = licenses.anchor(items)
         at = next(i for i in range(len(words)) if words[i : i + len(run)] == run) + rng.randrange(len(run))
         for broken in (words[:at] + ["zeta"] + words[at + 1 :], words[:at] + words[at + 1 :], words[:at] + ["zeta"] + words[at:] if words[at - 1 : at] and at else None):
             if broken is not None:
                 want = pattern.fullmatch("".join(f"<{w}>" for w in broken))
-                assert (automaton.longest(broken, 0) == len(broken)) == bool(want)
+                assert automaton.accepts(broken) == bool(want)
 
 
 def sample_rows():
@@ -84,3 +84,33 @@ def test_edge_rows(spark):
     assert [r[:4] for r in got] == [(None, "MIT-notice", 1, 5), *[(3, "MIT-notice", 300_000 + 5 * i, 5) for i in range(3)], (5, "MIT-notice", got[-1][2], 5)]
     assert rows[3][1][got[0][4] : got[0][5]] == "RELEASED -- under the\n\nmit license" and got[-1][4] is None
     assert license_matches(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("match, least", [(".+", 1), (".*", 0), (".{3,}", 3)])
+def test_regions_without_end(match, least):
+    scanner = Scanner({"x": f'begin of it <<var;name="v";match="{match}">> end of it'})
+    for n in (0, 1, 2, 3, 999, 1000, 1001, 40_000):
+        found = scanner("so begin of it " + "word " * n + "end of it all")
+        assert found == ([("x", 1, n + 6, 3, 3 + 12 + 5 * n + 9)] if n >= least else [])
+    # the longest match of the leftmost start, as the regular expression has it
+    rng = random.Random(1)
+    items = parse(f'a <<var;name="v";match="{match}">> b <<beginOptional>>a<<endOptional>>')
+    automaton, pattern = TokenAutomaton(items), re.compile(as_regex(items))
+    for _ in range(300):
+        words = rng.choices("abc", k=rng.randint(0, 12))
+        text = "".join(f"<{w}>" for w in words)
+        assert list(automaton.matches(words)) == [(m.start() // 3, m.end() // 3) for m in pattern.finditer(text)]
+
+
+def test_underscores_and_ids_of_any_type(spark):
+    assert parse("snake_case word") == ["snake_case", "word"]
+    docs = spark.createDataFrame([("one", "Released under the MIT License")], "name string, text string")
+    assert [tuple(r)[:2] for r in license_matches(docs, doc_id="name").collect()] == [("one", "MIT-notice")]
+    texts = {
+        "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "CC-BY-4.0-notice": "licensed under CC BY 4.0",
+    }
+    for name, text in texts.items():
+        assert [m[0] for m in Scanner(TEMPLATES)(text)] == [name]
