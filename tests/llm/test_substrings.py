@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 
-from tracewell.llm.substrings import MIN_WORDS, Words, repeated_passages, repeats, runs, subtrees
+from tracewell.llm import substrings
+from tracewell.llm.substrings import MIN_WORDS, Subtree, Words, repeated_passages, runs, subtrees
 
 
 def test_equal_windows_belong_to_equal_sequences():
@@ -27,21 +28,25 @@ def test_subtrees_partition_and_find_repeats():
     text[200:290] = text[20:110]
     places = np.arange(len(text) - MIN_WORDS + 1)
     for limit in (10, 60, 10_000):
-        groups = list(subtrees(places, text, limit))
+        groups = list(subtrees(places, text, MIN_WORDS, limit))
         assert sorted(np.concatenate(groups).tolist()) == places.tolist()
         assert limit > 100 or all(len(g) <= limit for g in groups)
         got = set()
         for g in groups:
-            suffixes, node = repeats(g, text)
+            tree = Subtree(g, text, MIN_WORDS)
+            node = tree.nodes(MIN_WORDS)
+            for a, b, depth in zip(tree.suffixes.tolist(), tree.suffixes[1:].tolist(), tree.common[1:].tolist()):
+                shared = next((j for j in range(MIN_WORDS) if text[a + j] != text[b + j]), MIN_WORDS)
+                assert depth == shared and (shared == MIN_WORDS or text[a + shared] < text[b + shared])
             for n in set(node[node >= 0].tolist()):
-                got.add(tuple(sorted(suffixes[node == n].tolist())))
+                got.add(tuple(sorted(tree.suffixes[node == n].tolist())))
         by = defaultdict(list)
         for p in places.tolist():
             by[text[p : p + MIN_WORDS].tobytes()].append(p)
         assert got == {tuple(v) for v in by.values() if len(v) > 1}
 
 
-def brute(rows):
+def brute(rows, MIN_WORDS=MIN_WORDS):
     """Passages by looking at every window of every text."""
     by_text = defaultdict(list)
     for d, t in rows:
@@ -101,6 +106,27 @@ def test_matches_brute_force(spark):
     assert collected(repeated_passages(docs)) == want
 
 
+def test_hot_sequences_and_other_lengths(spark, monkeypatch):
+    """Sequences too frequent for a task, all of them or some, and passages of other lengths."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    for hot in (1, 8):
+        monkeypatch.setattr(substrings, "HOT_RUNS", hot)
+        assert collected(repeated_passages(docs)) == want
+    monkeypatch.undo()
+    short = [r for r in rows if r[1] is None or len(r[1]) < 900]
+    for n in (7, 30):
+        assert collected(repeated_passages(spark.createDataFrame(short, "doc_id long, text string"), min_words=n)) == brute(short, n)
+
+
+def test_ids_of_any_type(spark):
+    rows = corpus()
+    named = [(None if d is None else f"d{d:05d}", t) for d, t in rows]
+    want = sorted([(f"d{a:05d}", p, n, f"d{b:05d}", q) for a, p, n, b, q in brute(rows)], key=repr)
+    assert collected(repeated_passages(spark.createDataFrame(named, "name string, text string"), doc_id="name")) == want
+
+
 def test_edge_rows(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None, 1), (2, "", 2), (3, long, 3), (4, "pre " + long, 4), (5, "few words", 5), (5, "few words", 5), (None, " ".join("abc" for _ in range(50)), 6), (7, "a " * 50, 7), (7, "a " * 50, 7)]

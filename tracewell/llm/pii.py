@@ -61,8 +61,17 @@ ENTITIES: tuple[tuple[str, str, re.Pattern], ...] = (
         ),
     ),
 )
-#: Every pattern's match holds one of these, so that texts without any are left alone.
-_LIKELY = re.compile(r"\d|@|-----BEGIN|AKIA|eyJ|[0-9a-fA-F]{32}|(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abprs])[-_]")
+_LITERAL = ("@", "-----BEGIN", "AKIA", "eyJ")
+_DIGIT = re.compile(r"\d")
+_HEX = re.compile(r"[0-9a-fA-F]{32}")
+_TOKEN = re.compile(r"[-_](?:(?<=[spr]k.)|(?<=gh[pos].)|(?<=glpat.)|(?<=xox[abprs].))")
+
+
+def likely(text: str) -> bool:
+    """Whether the text holds any of the signs of which every pattern's match has one."""
+    return any(sign in text for sign in _LITERAL) or bool(_DIGIT.search(text) or _TOKEN.search(text) or _HEX.search(text))
+
+
 _WORD = re.compile(r"\w+")
 #: Words counted in a task before it hands them on.
 _HELD = 200_000
@@ -85,7 +94,7 @@ _CHECKS = {"CARD": luhn, "IBAN": mod_97}
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, class) of the protected entities of a text, in order, none overlapping."""
-    if not _LIKELY.search(text):
+    if not likely(text):
         return []
     found: list[tuple[int, int, str]] = []
     for kind, sign, pattern in ENTITIES:
@@ -297,7 +306,7 @@ def _with_clean(docs: DataFrame, text: str, terms: DataFrame, remove: float, nam
     uid, word, own = fresh(docs.columns, "uid", "word", "own")
     numbered = stage(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids: list[int] = []
             words: list[str] = []
@@ -310,7 +319,7 @@ def _with_clean(docs: DataFrame, text: str, terms: DataFrame, remove: float, nam
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(words, pa.string())], names=["uid", "word"])
 
     marked = terms.select(F.col("term").alias("word"), F.concat(F.when(F.col("disclosure") >= remove, "-").otherwise("+"), F.col("term")).alias("mark"))
-    hits = numbered.select(quoted(uid).alias("uid"), quoted(text).alias("body")).mapInArrow(likely, "uid long, word string").join(marked, "word")
+    hits = numbered.select(quoted(uid).alias("uid"), quoted(text).alias("body")).mapInArrow(candidates, "uid long, word string").join(marked, "word")
     lists = stage(hits.groupBy("uid").agg(F.collect_list("mark").alias("marks")), "hits").select(F.col("uid").alias(uid), F.col("marks").alias(own))
     return numbered.join(lists, uid, "left").withColumn(name, _cleaner(None)(quoted(text), quoted(own))).drop(uid, own)
 
