@@ -3,7 +3,8 @@ import re
 
 import pytest
 
-from tracewell.llm.toxicity import FuzzyLexicon, Lexicon, Scorer, allowed_edits, drop_toxic, learn_lexicon, toxicity_scores
+from tracewell.llm import toxicity
+from tracewell.llm.toxicity import FuzzyLexicon, Lexicon, Scorer, allowed_edits, drop_toxic, learn_lexicon, quotations, toxicity_scores
 
 TERMS = ("idiot", "moron", "scum", "worthless", "disgusting", "pathetic")
 
@@ -133,3 +134,81 @@ def test_words_stay_fuzzy_beside_their_beginnings(spark):
     assert match("clownish") and match("cl0wn") == ("clown", 1) and match("tr4sh") == ("trash", 1)
     both = FuzzyLexicon(Lexicon({"clown": True}, whole=frozenset({"clown"})))
     assert both.match("clownery") == ("clown", 0) and both.match("cl0wn") == ("clown", 1) and both.match("cl0wnery") is None
+
+
+def test_quotations_of_any_length():
+    score = Scorer(Lexicon(dict.fromkeys(TERMS, False)))
+    for n in (1, 20, 70, 5000):
+        for a, b in ('""', "“”", "„“", "„”", "«»"):
+            inner = "calm words " * n + "what an idiot " + "calm words " * n
+            got = score(f"the paper had {a}{inner.strip()}{b} in it")
+            assert got[0] < 0.6 and got[3] == 1, (n, a)
+    assert score('a stray " sign, you idiot, and 5" of rain')[0] > 0.6
+    assert score('"calm" talk, you idiot, "calm" again')[0] > 0.6
+    assert score('"a line\nyou idiot"')[0] > 0.6
+    assert quotations('"a" „b“ «c» “d” "e') == [(0, 3), (4, 7), (8, 11), (12, 15)]
+    assert len(quotations("„" * 200_000 + "“")) == 1
+
+
+def test_beginnings_may_be_misspelled():
+    match = FuzzyLexicon(Lexicon({"grumfi": True, "blor": True})).match
+    assert match("grumfitude") == ("grumfi", 0) and match("grunfitude") == ("grumfi", 1) and match("gumfitude") == ("grumfi", 1)
+    assert match("gunfitude") is None and match("blxrness") is None and match("blorness") == ("blor", 0)
+    assert FuzzyLexicon(Lexicon({"grumfi": True}, exact=frozenset({"grumfi"}))).match("grunfitude") is None
+
+
+def scored_by_hand(text, lexicon):
+    """The score of a text from its definition, word by word."""
+    lower = text.lower()
+    words = [(m.group(), m.start()) for m in re.finditer(r"\w+", lower)]
+    hits = []
+    for i, (w, at) in enumerate(words):
+        near = []
+        for t in lexicon.terms:
+            e = edits(w, t)
+            if e <= allowed_edits(t, t in lexicon.exact) and not (e and w in lexicon.harmless):
+                near.append((e, -lexicon.weights.get(t, 1.0), t))
+        if near:
+            hits.append((i, at, min(near)[2], min(near)[0]))
+    best = 0.0
+    for i, at, t, e in hits:
+        if t in lexicon.weights:
+            inside = [1 - 1.5 * f / len(u) for j, _, u, f in hits if u in lexicon.weights and i - toxicity.WEAK_WINDOW <= j <= i]
+            dense = min(2.0, max(1.0, 100 / len(words))) if len(inside) > 1 else 1.0
+            best = max(best, 0.2 * sum(inside) * dense)
+            continue
+        score = 1 - 1.5 * e / len(t)
+        around = {w for w, _ in words[max(0, i - 8) : i + 9]}
+        before = [j for j, *_ in hits if j < i][-1:]
+        after = [j for j, *_ in hits if j > i][:1]
+        company = sum(abs(j - i) <= 8 for j in before + after)
+        score *= 1 + (0.5 if around & {"you", "your", "du"} else 0) + 0.25 * company
+        quotes = [m.span() for m in re.finditer(r'"[^"]*"', lower)]
+        if any(a <= at < b for a, b in quotes):
+            score *= 0.4
+        if {w for w, _ in words[max(0, i - 4) : i]} & {"said", "called"}:
+            score *= 0.7
+        best = max(best, score)
+    return best
+
+
+def test_window_scores_from_their_definition():
+    rng = random.Random(12)
+    lexicon = Lexicon({**dict.fromkeys(TERMS, False), "weaky": False, "softish": False}, frozenset({"morin"}), frozenset({"pathetic"}), {"weaky": 0.2, "softish": 0.2})
+    score = Scorer(lexicon)
+    pool = ["you", "your", "said", "called", "morin", "weaky", "weeky", "softish", "softisch", "pathetic", "patetic", "idiot", "idi0t", "scum", "worthles"] + [f"calm{i}" for i in range(25)]
+    for _ in range(400):
+        words = rng.choices(pool, k=rng.randint(1, 60))
+        for _ in range(rng.randint(0, 2)):
+            a = rng.randrange(len(words))
+            words[a] = f'"{words[a]}"'
+        text = " ".join(words)
+        assert abs(score(text)[0] - scored_by_hand(text, lexicon)) < 1e-6, text
+
+
+def test_labels_with_other_columns(spark, corpus):
+    rows, labels = corpus
+    docs = spark.createDataFrame(rows, "key long, body string")
+    named = spark.createDataFrame([(i, bool(t), i) for i, t in labels], "item long, bad boolean, doc_id long")
+    lexicon = learn_lexicon(docs, named, "key", "body", label_id="item", label="bad")
+    assert lexicon == learn_lexicon(docs.toDF("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, toxic int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,11 +25,14 @@ MIN_CONTEXTS = 12
 #: Of a term's neighbourhoods, the share in toxic documents from which one find is enough, and from which
 #: it is weak evidence: several finds within WEAK_WINDOW words are needed.
 STRONG, WEAK = 0.998, 0.7
-#: A strong term has at least so many neighbourhoods for each toxic document learned from.
-STRONG_SHARE = 0.05
+#: That share's lower confidence bound (at two standard deviations) must be at least this for a strong term.
+STRONG_BOUND = 0.85
 WEAK_WEIGHT, WEAK_WINDOW = 0.2, 250
-#: Harmless lookalikes beyond which a term is matched exactly only.
-LOOKALIKES = 2
+#: Weak finds weigh more in texts of fewer words than this, up to DENSE_MOST times as much.
+DENSE_WORDS, DENSE_MOST = 100, 2.0
+#: A term is matched exactly only if a larger share of the clean documents than this has words that look like
+#: it, and a larger share than of the toxic ones.
+LOOKALIKES = 0.001
 #: A document with a window score of at least this is rejected.
 THRESHOLD = 0.6
 WINDOW = 8
@@ -40,7 +44,7 @@ _REPORT = frozenset(
     "said says saying called calling calls wrote writes word words term terms quote quoted quotes insult insults slur named "
     "sagte nannte schrieb wort zitat dit appelé écrit mot terme dijo llamó escribió palabra término".split()
 )
-_QUOTED = re.compile(r'"[^"\n]{1,300}"|“[^”\n]{1,300}”|„[^“”\n]{1,300}[“”]|«[^»\n]{1,300}»')
+_MARKS = re.compile(r'["“”„«»\n]')
 _REMEMBER = 200_000
 
 
@@ -66,6 +70,40 @@ def allowed_edits(term: str, exact: bool) -> int:
     return 0 if exact or len(term) < 4 else 1 if len(term) < 9 else 2
 
 
+def beginning_edits(term: str, exact: bool) -> int:
+    """Of beginnings, in those of six letters or more: shorter ones are within an edit of too many words."""
+    return 0 if exact or len(term) < 6 else 1
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the passages between quotation marks, however long, within one line; in order of their ends.
+
+    Straight marks open before a word or sign and close after one; of “ and ” each may be either, as languages
+    differ.
+    """
+    out: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}
+    for m in _MARKS.finditer(text):
+        at, sign = m.start(), m.group()
+        before, after = text[at - 1 : at] if at else " ", text[at + 1 : at + 2] or " "
+        if sign == "\n":
+            opened.clear()
+        elif sign == '"':
+            if '"' in opened and not before.isspace():
+                out.append((opened.pop('"'), at + 1))
+            elif not after.isspace() and not before.isalnum():
+                opened['"'] = at
+        elif sign in "„«":
+            opened.setdefault(sign, at)
+        else:
+            opener = next((o for o in ("„“" if sign == "”" else "„" if sign == "“" else "«") if o in opened), None)
+            if opener is not None:
+                out.append((opened.pop(opener), at + 1))
+            elif sign == "“":
+                opened.setdefault(sign, at)
+    return out
+
+
 class FuzzyLexicon:
     """The intersection of the lexicon's trie with the Levenshtein automata of all words.
 
@@ -77,8 +115,8 @@ class FuzzyLexicon:
         self.harmless, self.weights = lexicon.harmless, lexicon.weights
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        self.prefix: list[bool] = [False]
-        self.edits: list[int] = [0]  # that the term at a node allows
+        self.edits: list[int] = [0]  # that the term at a node allows, as a whole word and as a beginning
+        self.starts: list[int] = [-1]
         for term, prefix in lexicon.terms.items():
             node = 0
             for sign in term:
@@ -86,14 +124,16 @@ class FuzzyLexicon:
                     self.children[node][sign] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
-                    self.prefix.append(False)
                     self.edits.append(0)
+                    self.starts.append(-1)
                 node = self.children[node][sign]
-            self.term[node], self.prefix[node] = term, prefix
-            self.edits[node] = allowed_edits(term, prefix and term not in lexicon.whole or term in lexicon.exact)
+            self.term[node] = term
+            exact = term in lexicon.exact
+            self.edits[node] = allowed_edits(term, exact or prefix and term not in lexicon.whole)
+            self.starts[node] = beginning_edits(term, exact) if prefix else -1
         self.most = [0] * len(self.children)  # edits that some term at or below a node allows
         for node in range(len(self.children) - 1, -1, -1):
-            self.most[node] = max([self.edits[node], *(self.most[c] for c in self.children[node].values())])
+            self.most[node] = max([self.edits[node], self.starts[node], *(self.most[c] for c in self.children[node].values())])
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -115,7 +155,7 @@ class FuzzyLexicon:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ends = [(spent, self.term[node]) for node, spent in key if self.term[node] is not None and spent <= self.edits[node]]
+            ends = [(spent, self.term[node]) for node, spent in key if self.term[node] is not None and spent <= max(self.edits[node], self.starts[node])]
             ends.sort(key=lambda e: (e[0], -self.weights.get(e[1], 1.0), e[1]))
             self.found.append((ends[0][1], ends[0][0]) if ends else None)
         return self.ids[key]
@@ -128,8 +168,8 @@ class FuzzyLexicon:
                 places[node] = spent
 
         for node, spent in self.sets[state]:
-            if self.prefix[node] and not spent:
-                places[node] = 0  # whatever follows
+            if spent <= self.starts[node]:
+                put(node, spent)  # whatever follows
             put(node, spent + 1)  # a letter too many
             for letter, child in self.children[node].items():
                 put(child, spent + (letter != sign))
@@ -177,23 +217,27 @@ class Scorer:
     def _windows(self, lower: str, found: list[str]) -> tuple[float, int, int, int]:
         at = [i for i, w in enumerate(found) if w in self.hits]
         spans = [m.span() for m in _WORD.finditer(lower)]
-        quotes = [m.span() for m in _QUOTED.finditer(lower)]
-        starts = np.array([q[0] for q in quotes])
+        quotes = np.zeros(len(lower) + 1, np.int32)  # by place: how many quotations it is in
+        for a, b in quotations(lower):
+            quotes[a] += 1
+            quotes[b] -= 1
+        quotes = np.cumsum(quotes)
         best, misspelled, in_quotes = 0.0, 0, 0
         weights = self.automaton.weights
-        weak = [i for i in at if self.hits[found[i]][0] in weights]
-        first = 0
-        for k, i in enumerate(weak):
-            while weak[first] < i - WEAK_WINDOW:
+        weak = [(i, 1 - 1.5 * edits / len(term)) for i in at for term, edits in (self.hits[found[i]],) if term in weights]
+        first, inside, dense = 0, 0.0, min(DENSE_MOST, max(1.0, DENSE_WORDS / len(found)))
+        for k, (i, weight) in enumerate(weak):
+            inside += weight
+            while weak[first][0] < i - WEAK_WINDOW:
+                inside -= weak[first][1]
                 first += 1
-            best = max(best, WEAK_WEIGHT * (k - first + 1))
+            best = max(best, WEAK_WEIGHT * inside * (dense if k > first else 1.0))
         for k, i in enumerate(at):
             term, edits = self.hits[found[i]]
             if term in weights:
                 continue
             weight = 1 - 1.5 * edits / len(term)
-            q = int(np.searchsorted(starts, spans[i][0])) - 1
-            is_quoted = q >= 0 and spans[i][1] <= quotes[q][1]
+            is_quoted = bool(quotes[spans[i][0]])
             around = found[max(0, i - WINDOW) : i + WINDOW + 1]
             company = sum(1 for other in (at[k - 1] if k else -WINDOW * 9, at[k + 1] if k + 1 < len(at) else 1 << 60) if abs(other - i) <= WINDOW)
             score = weight * (1 + 0.5 * (not _ADDRESS.isdisjoint(around)) + 0.25 * company)
@@ -215,6 +259,8 @@ def learn_lexicon(
     text: str = "text",
     train_rows: int = TRAIN_ROWS,
     seeds: tuple[str, ...] = SEED_TERMS,
+    label_id: str = "doc_id",
+    label: str = "toxic",
 ) -> Lexicon:
     """Terms and beginnings of words that toxic labelled documents have and others don't.
 
@@ -224,7 +270,8 @@ def learn_lexicon(
     Without labels the lexicon is the seeds.
     """
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(quoted(label_id).alias("doc_id"), quoted(label).alias("toxic")).where("doc_id is not null and toxic is not null")
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = known.count()
     if not n:
         return Lexicon(dict.fromkeys(seeds, False))
@@ -276,9 +323,13 @@ def learn_lexicon(
     weights: dict[str, float] = {}
     whole: set[str] = set()
 
-    toxic_docs = train.where("toxic = 1").count()
+    def bound(hits: int, others: int) -> float:
+        """The lower end of Wilson's interval for the share of hits, at two standard deviations."""
+        n = hits + others
+        share = hits / n
+        return (share + 2 / n - 2 * math.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n)
 
-    def add(least: float, fewest: float, weight: float | None) -> None:
+    def add(least: float, surely: float, weight: float | None) -> None:
         """Terms of at least this precision that no shorter beginning covers, shortest first.
 
         A strong whole word is a term beside a beginning that covers it, as only whole words match misspelled.
@@ -286,7 +337,8 @@ def learn_lexicon(
         for term, prefix in sorted(candidates, key=lambda f: (len(f[0]), not f[1], f[0])):
             contexts = candidates[term, prefix]
             covered = any(terms.get(term[:k]) for k in range(1, len(term) + 1))
-            if contexts >= least * (contexts + clean_finds.get((term, prefix), 0)) and contexts >= fewest:
+            others = clean_finds.get((term, prefix), 0)
+            if contexts >= least * (contexts + others) and bound(contexts, others) >= surely:
                 if not prefix and weight is None and terms.get(term):
                     whole.add(term)
                 if term in terms or covered and (prefix or weight is not None):
@@ -295,22 +347,41 @@ def learn_lexicon(
                 if weight is not None:
                     weights[term] = weight
 
-    add(STRONG, STRONG_SHARE * toxic_docs, None)
+    add(STRONG, STRONG_BOUND, None)
     terms |= {t: False for t in seeds if t not in terms and not clean_finds.get((t, False))}
-    fuzzy = FuzzyLexicon(Lexicon(dict(terms), whole=frozenset(whole)))
     add(WEAK, 0, WEAK_WEIGHT)
+    fuzzy = FuzzyLexicon(Lexicon(dict(terms), whole=frozenset(whole)))
 
     def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[str] = set()
+        """(word, term, toxic, documents) of the words that match misspelled; word "" counts documents by term, term "" all."""
+        counts: Counter = Counter()
+        near: dict[str, str | None] = {}
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                done.update(_WORD.findall(body.lower()))
-        out = [(w, got[0]) for w in done if (got := fuzzy.match(w)) and got[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], names=["word", "term"])
+            for body, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                here = set(_WORD.findall(body.lower()))
+                for w in here.difference(near):
+                    got = fuzzy.match(w)
+                    near[w] = got[0] if got and got[1] else None
+                hits = [(w, near[w]) for w in here if near[w]]
+                counts.update((w, t, toxic) for w, t in hits)
+                counts.update(("", t, toxic) for t in {t for _, t in hits})
+                counts["", "", toxic] += 1
+        rows = list(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([counts[r] for r in rows], pa.int64())],
+            names=["word", "term", "toxic", "n"],
+        )
 
-    attested = {r.word: r.term for r in clean.mapInArrow(lookalikes, "word string, term string").distinct().toLocalIterator()}
-    often = Counter(attested.values())
-    exact = frozenset({t for t, n in often.items() if n > LOOKALIKES} | weights.keys())
+    attested: dict[str, str] = {}
+    documents: Counter = Counter()
+    found = train.select("text", "toxic").mapInArrow(lookalikes, "word string, term string, toxic int, n long").groupBy("word", "term", "toxic").agg(F.sum("n").alias("n"))
+    for r in found.where("word = '' or toxic = 0").toLocalIterator():
+        if r.word:
+            attested[r.word] = r.term
+        else:
+            documents[r.term, r.toxic] = r.n
+    share = lambda t, toxic: documents[t, toxic] / max(1, documents["", toxic])
+    exact = frozenset(t for t in terms if share(t, 0) > max(LOOKALIKES, share(t, 1)))
     return Lexicon(terms, frozenset(w for w, t in attested.items() if t not in exact), exact, weights, frozenset(whole))
 
 
@@ -351,6 +422,10 @@ def toxicity_scores(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that :func:`toxicity_scores` doesn't reject."""
+    """The rows of ``docs``, all columns as they are, that :func:`toxicity_scores` doesn't reject.
+
+    Null and empty texts stay; texts of any length are read whole; repeated rows stay or go alike; an empty
+    table gives no rows; nulls in other columns, and columns of whatever names, stay as they are.
+    """
     (name,) = fresh(docs.columns, "toxicity")
     return docs.withColumn(name, _scored(text, lexicon, docs)).where(quoted(name)["score"] < threshold).drop(name)
