@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import quoted, stage
+from tracewell.llm.common import broadcast_if_small, quoted, stage
 from tracewell.operators.sets import numbered
 
 #: Words that a passage has at least.
@@ -264,7 +264,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     distinct = distinct.select("high", "low", F.col("f.none").alias("none"), F.col("f.doc_id").alias("first"), F.col("f.uid").alias("first_uid"), "copies", (F.col("windows") / F.col("copies") + (min_words - 1)).cast("long").alias("n_words"))
     known = stage(numbered(distinct, ("none", "first", "high", "low"), "no"), "texts")
     place = F.struct("high", "low", "start")
-    often = all_runs.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("gram", (F.col("n") > HOT_RUNS).alias("hot"))
+    often = all_runs.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a != b").select("gram", "n")
+    often = stage(often, "often")
+    hot = often.where(F.col("n") > HOT_RUNS).select("gram")
+    if hot.limit(1).count():  # copies of a text don't make its sequences hot
+        texts_of = all_runs.join(broadcast_if_small(hot), "gram").groupBy("gram").agg(F.countDistinct("high", "low", "start").alias("n"))
+        hot = stage(texts_of.where(F.col("n") > HOT_RUNS).select("gram", F.lit(True).alias("hot")), "hot")
+        often = often.join(broadcast_if_small(hot), "gram", "left").select("gram", F.coalesce("hot", F.lit(False)).alias("hot"))
+    else:
+        often = often.select("gram", F.lit(False).alias("hot"))
     kept = stage(
         all_runs.join(often, "gram")
         .groupBy("high", "low")
@@ -307,13 +315,18 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         if held and (out := _passages(pa.Table.from_batches(held), min_words)) is not None:
             yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
-    # one body a text: copies are dropped before anything is cut from them
-    bodies = texts.groupBy("high", "low").agg(F.any_value("body").alias("body"))
-    full = bodies.join(kept.hint("merge"), ["high", "low"]).select("no", "body", "runs")
+    def with_bodies(kept: DataFrame, texts: DataFrame) -> DataFrame:
+        """One body a text: copies are dropped before anything is cut from them."""
+        bodies = texts.groupBy("high", "low").agg(F.any_value("body").alias("body"))
+        return bodies.join(kept.hint("merge"), ["high", "low"]).select("no", "body", "runs")
+
+    full = with_bodies(kept, texts)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words_held * 4 / PART_BYTES))
     found = full.mapInArrow(fill, _FULL).repartition(parts, "gram").mapInArrow(search, _FOUND)
     if any_hot:
-        windows = stage(full.mapInArrow(windows_of, _WINDOW), "windows")
+        hot_ones = stage(kept.where(F.exists("runs", lambda x: x["hot"])), "hot")
+        some = texts.join(broadcast_if_small(hot_ones.select("high", "low")), ["high", "low"], "left_semi")
+        windows = stage(with_bodies(hot_ones, some).mapInArrow(windows_of, _WINDOW), "windows")
         at = F.struct("no", "start")
         nodes = windows.groupBy("wh", "wl").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a != b")
         each = windows.join(nodes, ["wh", "wl"])
