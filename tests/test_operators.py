@@ -48,8 +48,12 @@ def test_tree(spark):
     parents = {i: rng.randrange(i) for i in range(1, 120)} | {0: 999, 200: 201, 201: 200}
     for i in range(300, 360):
         parents[i] = i - 1 if i > 300 else None
-    df = spark.createDataFrame(list(parents.items()), "span_id long, parent_span_id long")
-    got = {r.span_id: (r.depth, r.root_id) for r in spans.tree(df).collect()}
+    df = spark.createDataFrame([(k, *p) for k in (1, 2) for p in parents.items()] + [(3, 0, 5), (3, 5, None), (3, 5, None)], "instance_id long, span_id long, parent_span_id long")
+    rows = spans.tree(df).collect()
+    assert len(rows) == len({(r.instance_id, r.span_id) for r in rows})
+    assert {r.span_id: (r.depth, r.root_id) for r in rows if r.instance_id == 3} == {0: (1, 5), 5: (0, 5)}
+    got, other = ({r.span_id: (r.depth, r.root_id) for r in rows if r.instance_id == k} for k in (1, 2))
+    assert got == other
 
     def climb(i):
         depth = 0
@@ -167,3 +171,35 @@ def test_spans_live(spark, tmp_path):
     joined = live.spans_live(live.arriving(spark, f"{tmp_path}/en/*", schema, 1), live.arriving(spark, f"{tmp_path}/ex/*", schema, 1), "1 minute", "10 minutes")
     run(joined, "spans_live")
     assert {(r.span_id, r.exit_ts) for r in spark.table("spans_live").collect()} == {(1, 20 * 10**9), (2, None)}
+
+
+def test_stamps_in_any_zone(spark):
+    from tracewell.functions import ids
+
+    times = [0, 1782224730123, 1709164800000, 1729994400000, -1]
+    df = spark.createDataFrame([(m,) for m in times], "m long").select("m", ids.stamp(F.col("m")).alias("s"))
+    want = {m: ids.utc_stamp(m) for m in times}
+    for zone in ("UTC", "Europe/Berlin", "Pacific/Apia"):
+        before = spark.conf.get("spark.sql.session.timeZone")
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert {r.m: r.s for r in df.collect()} == want
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_fnv_as_column(spark):
+    from tracewell.functions import ids
+
+    texts = [b"", b"a", b"foobar", bytes(range(256))]
+    df = spark.createDataFrame([(x,) for x in texts] + [(None,)], "d binary")
+    got = {r.d and bytes(r.d): r.h for r in df.select("d", ids.fnv1a64_of(F.col("d")).alias("h")).collect()}
+    assert got[None] is None and {k: int(v) for k, v in got.items() if k is not None and k} == {x: ids.fnv1a64(x) for x in texts if x}
+
+
+def test_statements_are_parted_outside_of_quotes():
+    from tracewell.operators import views
+
+    sql = "SELECT ';' AS a; -- one; two\nSELECT `x;y`, \"p;q\" /* ; */ FROM t;; -- end;"
+    assert views.split_statements(sql) == ["SELECT ';' AS a", "-- one; two\nSELECT `x;y`, \"p;q\" /* ; */ FROM t"]
+    assert views.split_statements("") == [] and views.split_statements("SELECT 'it''s; so'") == ["SELECT 'it''s; so'"]

@@ -85,8 +85,31 @@ def micros(ts_nanos: Column) -> Column:
 
 
 def stamp(millis: Column) -> Column:
-    """:func:`utc_stamp` of a column, without numbers for equal ones (the session's zone must be UTC)."""
-    return F.date_format(F.timestamp_millis(millis), "yyyyMMdd'T'HHmmssSSS'Z'")
+    """:func:`utc_stamp` of a column, without numbers for equal ones, in UTC whatever the session's zone is."""
+    # a day and a time of day by arithmetic: a zone with gaps in its clock has no image of every UTC time
+    day, rest = F.floor(millis / F.lit(86_400_000)), F.pmod(millis, F.lit(86_400_000))
+    part = lambda unit, turn, width: F.lpad((F.floor(rest / F.lit(unit)) % F.lit(turn)).cast("string"), width, "0")
+    date = F.date_format(F.date_from_unix_date(day.cast("int")), "yyyyMMdd")
+    return F.concat(date, F.lit("T"), part(3_600_000, 24, 2), part(60_000, 60, 2), part(1000, 60, 2), part(1, 1000, 3), F.lit("Z"))
+
+
+def fnv1a64_of(data: Column) -> Column:
+    """:func:`fnv1a64` of a binary column, as an unsigned 64-bit value.
+
+    The state is two halves of 32 bits, as products of whole 64-bit values overflow; the prime is 2^40 + 435.
+    """
+    low32 = F.lit(0xFFFFFFFF)
+    begin = F.struct(F.lit(_OFFSET >> 32).cast("long").alias("hi"), F.lit(_OFFSET & 0xFFFFFFFF).cast("long").alias("lo"))
+
+    def step(state: Column, at: Column) -> Column:
+        lo = state["lo"].bitwiseXOR(F.conv(F.hex(F.substring(data, at, F.lit(1))), 16, 10).cast("long"))
+        product = lo * F.lit(435)
+        hi = state["hi"] * F.lit(435) + F.shiftright(product, 32) + F.shiftleft(lo, 8)
+        return F.struct(hi.bitwiseAND(low32).alias("hi"), product.bitwiseAND(low32).alias("lo"))
+
+    places = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data))).otherwise(F.array().cast("array<int>"))
+    whole = lambda s: s["hi"].cast(U64) * F.lit(Decimal(1 << 32)) + s["lo"].cast(U64)
+    return F.when(data.isNotNull(), F.aggregate(places, begin, step, whole).cast(U64))
 
 
 def span_counter(span_id: Column) -> Column:

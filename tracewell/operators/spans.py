@@ -13,6 +13,8 @@ from tracewell.functions.storage import kept
 from tracewell.sources.wire import PREFIX
 
 KEY = ["instance_id", "span_id"]
+#: Arguments that mark the events that were made up.
+OPEN, ORPHAN = f"{PREFIX}_open", f"{PREFIX}_orphan_exit"
 
 
 def pairs(enters: DataFrame, exits: DataFrame) -> DataFrame:
@@ -51,25 +53,29 @@ def summary(records: DataFrame) -> DataFrame:
 
 
 def tree(spans: DataFrame, root_depth: int = 0) -> DataFrame:
-    """(span_id, parent_span_id, depth, root_id) for (span_id, parent_span_id): spans whose parent isn't there are roots.
+    """(instance_id, span_id, parent_span_id, depth, root_id) for the first three: spans whose parent isn't there are roots.
 
-    Pointer doubling: each round every span's ancestor becomes its ancestor's ancestor, so a chain of n
-    takes log2(n) joins, not n; it ends when a round moves nothing.  Spans on a cycle belong to no root and
-    are left out.
+    A parent is looked for in its child's instance, as span ids are only unique there.  A span recorded more
+    than once is one span of each parent it names.  Pointer doubling: each round every span's ancestor
+    becomes its ancestor's ancestor, so a chain of n takes log2(n) joins, not n; it ends when a round moves
+    nothing.  Spans on a cycle belong to no root and are left out.
     """
-    ids = spans.select(F.col("span_id").alias("known"))
-    at = spans.join(ids, spans.parent_span_id == ids.known, "left").select(
-        "span_id", "parent_span_id", F.coalesce("known", "span_id").alias("up"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("steps")
+    spans = spans.select(*KEY, "parent_span_id").distinct()
+    ids = spans.select("instance_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).distinct()
+    at = spans.join(ids, ["instance_id", "parent_span_id"], "left").select(
+        *KEY, "parent_span_id", F.when(F.col("known"), F.col("parent_span_id")).otherwise(F.col("span_id")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("steps")
     )
     at, climbing, most = kept(at), True, spans.count()
     reach = 1
     while climbing and reach < 2 * most:  # on a cycle there is no end to climbing, but no path is longer than all spans
-        above = at.select(F.col("span_id").alias("a"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        at = kept(at.join(above, at.up == above.a).select("span_id", "parent_span_id", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")))
+        above = at.select("instance_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more")).distinct()
+        at = kept(
+            at.join(above, ["instance_id", "up"]).select(*KEY, "parent_span_id", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")).distinct()
+        )
         climbing = not at.where("moved").isEmpty()
         reach *= 2
-    roots = at.where("steps = 0").select(F.col("span_id").alias("root_id"))
-    return at.join(roots, at.up == roots.root_id).select("span_id", "parent_span_id", (F.col("steps") + root_depth).cast("int").alias("depth"), "root_id")
+    roots = at.where("steps = 0").select("instance_id", F.col("span_id").alias("up")).distinct()
+    return at.join(roots, ["instance_id", "up"]).select(*KEY, "parent_span_id", (F.col("steps") + root_depth).cast("int").alias("depth"), F.col("up").alias("root_id"))
 
 
 def trace_events(records: DataFrame) -> DataFrame:

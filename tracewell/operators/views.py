@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,12 +75,30 @@ def ddl(registry: Registry, registered: list[str] = (), bind: str | None = None,
     return "\n".join(out) + "\n"
 
 
+#: What a semicolon inside of ends no statement: quoted texts and names, comments.
+_OPAQUE = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|;|[^'"`;/-]+|.""", re.DOTALL)
+
+
+def split_statements(sql: str) -> list[str]:
+    """The statements of a text, parted by semicolons outside of quotes and comments; those of comments alone are left out."""
+    out: list[str] = []
+    text, has = "", False
+    for part in [*_OPAQUE.findall(sql), ";"]:
+        if part == ";":
+            if has:
+                out.append(text.strip())
+            text, has = "", False
+        else:
+            text += part
+            has = has or bool(part.strip()) and not part.startswith(("--", "/*"))
+    return out
+
+
 def apply_registered(spark: SparkSession, statements: list[str]) -> None:
     """Run registered statements, in Spark's dialect.  They come from whoever wrote the dump: only on request."""
     for sql in statements:
-        for one in sql.split(";"):
-            if one.strip():
-                spark.sql(one)
+        for one in split_statements(sql):
+            spark.sql(one)
 
 
 def table_function(spark: SparkSession, name: str, arguments: str, query: str) -> None:

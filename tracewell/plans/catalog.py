@@ -256,8 +256,15 @@ def hex_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_id, strftime(make_timestamp(ts_nanos // 1000), '%Y%m%dT%H%M%S%gZ') AS stamp FROM s")
 def utc_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stamps of dump files, in UTC whatever the session's zone is."""
-    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_millis(F.expr("ts_nanos div 1000000")).cast("timestamp_ntz"))
-    return stream(spark, sf_dir).select("row_id", F.date_format(utc.cast("timestamp"), "yyyyMMdd'T'HHmmssSSS'Z'").alias("stamp"))
+    return stream(spark, sf_dir).select("row_id", ids.stamp(F.expr("ts_nanos div 1000000")).alias("stamp"))
+
+
+@query(
+    "SELECT row_id, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(event, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS VARCHAR) AS id FROM s"
+)
+def fnv_content_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a of the events' names, as columns."""
+    return stream(spark, sf_dir).select("row_id", ids.fnv1a64_of(F.col("event").cast("binary")).cast("string").alias("id"))
 
 
 def _versions() -> tuple[EventType, EventType]:
@@ -365,13 +372,15 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ", t(span_id, parent_span_id, depth, root_id) AS (SELECT row_id, row_id // 2, 0, row_id FROM s WHERE row_id = 1 "
-    "UNION ALL SELECT s.row_id, s.row_id // 2, t.depth + 1, t.root_id FROM s JOIN t ON s.row_id // 2 = t.span_id WHERE s.row_id > 1) SELECT * FROM t"
+    ", k AS (SELECT row_id % 3 AS instance_id, row_id // 3 AS span_id, CASE WHEN row_id >= 3 THEN row_id // 6 END AS parent_span_id FROM s), "
+    "t(instance_id, span_id, parent_span_id, depth, root_id) AS (SELECT instance_id, span_id, parent_span_id, 0, span_id FROM k WHERE parent_span_id IS NULL "
+    "UNION ALL SELECT k.instance_id, k.span_id, k.parent_span_id, t.depth + 1, t.root_id FROM k JOIN t ON k.instance_id = t.instance_id AND k.parent_span_id = t.span_id) SELECT * FROM t"
 )
 def span_tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth and root of every span in a tree of the whole stream."""
-    s = stream(spark, sf_dir).where("row_id >= 1")
-    return spans.tree(s.select(F.col("row_id").alias("span_id"), F.expr("row_id div 2").alias("parent_span_id")))
+    """Depth and root of every span in the trees of three instances that use the same ids."""
+    s = stream(spark, sf_dir)
+    span, parent = F.expr("row_id div 3").alias("span_id"), F.expr("CASE WHEN row_id >= 3 THEN row_id div 6 END").alias("parent_span_id")
+    return spans.tree(s.select((F.col("row_id") % 3).alias("instance_id"), span, parent))
 
 
 # ---- retention and dump policies
@@ -424,8 +433,10 @@ def throttle_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write(spark: SparkSession, sf_dir: str, keep=None) -> str:
     """The stream as a dump file; returns its path."""
-    s = stream(spark, sf_dir) if keep is None else stream(spark, sf_dir).where(keep)
-    texts = s.select("instance_id", "props").distinct().withColumn("id", F.row_number().over(Window.partitionBy("instance_id").orderBy("props")).cast("long") - 1)
+    whole = stream(spark, sf_dir)
+    s = whole if keep is None else whole.where(keep)
+    # of the whole stream, as all snapshots of an instance share one table
+    texts = whole.select("instance_id", "props").distinct().withColumn("id", F.row_number().over(Window.partitionBy("instance_id").orderBy("props")).cast("long") - 1)
     tables: dict[int, list[tuple[int, bytes]]] = {}
     for r in texts.orderBy("instance_id", "id").toLocalIterator():  # intern tables are headers: small by nature
         tables.setdefault(r.instance_id, []).append((r.id, r.props.encode()))
@@ -477,6 +488,92 @@ def dump_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(False, "raw_records").join(n(True, "unique_records"), "instance_id")
 
 
+# ---- converted files
+
+_TABLE = "SELECT ts_nanos, event, instance_id, row_id, user_id, value_cents, props FROM s"
+
+
+def _table(spark: SparkSession, paths: list[str], seq: bool = False) -> DataFrame:
+    """Dumps converted to a table, read again and laid flat."""
+    w = spark.read.parquet(engine.convert(spark, paths, f"{paths[0]}.{uuid.uuid4().hex}.parquet"))
+    pick = lambda f: F.coalesce(*[F.col(f"`app::{t}`.{f}") for t in TYPES]).alias(f)
+    long = lambda c: F.col(c).cast("bigint").alias(c)
+    return w.select(*["seq"] * seq, long("ts_nanos"), "event", long("instance_id"), long("row_id"), long("user_id"), pick("value_cents"), pick("props"))
+
+
+@query(_TABLE.replace("SELECT", "SELECT row_number() OVER (ORDER BY ts_nanos, instance_id, shard_id, row_id) - 1 AS seq,"))
+def convert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump converted to Parquet, as other readers find it."""
+    return _table(spark, [_write(spark, sf_dir)], seq=True)
+
+
+@query(_TABLE)
+def convert_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two dumps, one of which is given twice, converted to one table: each record once."""
+    even, odd = _write(spark, sf_dir, F.col("row_id") % 2 == 0), _write(spark, sf_dir, F.col("row_id") % 2 == 1)
+    return _table(spark, [even, odd, even])
+
+
+@query(_TABLE)
+def merge_then_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of a merged dump: the table is that of all dumps converted at once."""
+    even, odd = _write(spark, sf_dir, F.col("row_id") % 2 == 0), _write(spark, sf_dir, F.col("row_id") % 2 == 1)
+    return _table(spark, [engine.merge(spark, [even, odd, even], f"{even}.merged")])
+
+
+@query("SELECT 'format' AS key, '1' AS value FROM s UNION SELECT 'host', 'host-0' FROM s UNION SELECT 'views', event FROM s")
+def convert_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a converted table's footer says: its format, its host, and the events that its views are of."""
+    out = engine.convert(spark, [path := _write(spark, sf_dir)], f"{path}.parquet")
+    said = {k.rpartition(".")[2]: v for k, v in engine.footer_of(out).items()}
+    rows = [(k, v) for k, v in said.items() if k != "views"] + [("views", f"app::{t}") for t in TYPES if f'VIEW "app::{t}"' in said["views"]]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+def _write_spans(spark: SparkSession, sf_dir: str) -> str:
+    """Enters and exits of the stream as a dump; returns its path."""
+    labels = ((0, "Idle"), (1, "Busy"))
+    kinds = [
+        event(f"work::{half}", Declared("span", "u64", role="span_id"), Declared("code", "u32", sentinel=0), Declared("state", "enum", labels=labels), Declared("delta", "i32", sentinel=-1), phase=phase)
+        for half, phase in (("Start", "enter"), ("End", "exit"))
+    ]
+    records = None
+    for t, rows in zip(kinds, _span_records(spark, sf_dir)):
+        n = F.col("span_id")
+        rows = rows.select("ts_nanos", "instance_id", "shard_id", n.alias("span"), (n % 3).alias("code"), (n % 4).alias("state"), (n % 5 - 2).alias("delta"))
+        part = encoded(rows, t).select("ts_nanos", ids.u64(t.id).alias("event_id"), "instance_id", "shard_id", "fields", F.col("span").alias("arrival"))
+        records = part if records is None else records.unionByName(part)
+    folder = f"{scratch(spark)}/tracewell"
+    os.makedirs(folder, exist_ok=True)
+    out = f"{folder}/{uuid.uuid4().hex}.dump"
+    engine.write_dump(records, Registry.of(kinds), {}, {}, out)
+    return out
+
+
+_SPAN_EVENTS = (
+    _SPANS + ", la AS (SELECT greatest((SELECT max(ts_nanos) FROM en), (SELECT max(ts_nanos) FROM ex)) AS m), "
+    "ev AS (SELECT 'b' AS ph, 'work::Start' AS name, * EXCLUDE (name), NULL AS mark FROM en "
+    "UNION ALL SELECT 'e', 'work::Start', instance_id, shard_id, span_id, m, 'open' FROM en ANTI JOIN ex USING (instance_id, span_id), la "
+    "UNION ALL SELECT 'e', 'work::End', * EXCLUDE (name), NULL FROM ex SEMI JOIN en USING (instance_id, span_id) "
+    "UNION ALL SELECT 'i', 'work::End', * EXCLUDE (name), 'orphan_exit' FROM ex ANTI JOIN en USING (instance_id, span_id)) "
+)
+
+
+@query(
+    _SPAN_EVENTS + "SELECT ph, name, 'work' AS cat, CASE WHEN ph <> 'i' THEN '0x' || lpad(lower(printf('%X', span_id)), 16, '0') END AS id, instance_id AS pid, shard_id AS tid, CAST(ts_nanos AS DOUBLE) / 1000 AS ts, "
+    "span_id AS span, span_id % 3 AS code, CASE span_id % 4 WHEN 0 THEN 'Idle' WHEN 1 THEN 'Busy' ELSE CAST(span_id % 4 AS VARCHAR) END AS state, span_id % 5 - 2 AS delta, mark FROM ev"
+)
+def trace_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dump of spans converted to a trace, as a viewer finds it; arguments show absent values as they were recorded."""
+    out = engine.convert(spark, [path := _write_spans(spark, sf_dir)], f"{path}.json")
+    args = f"struct<span: bigint, code: bigint, state: string, delta: bigint, {spans.OPEN}: boolean, {spans.ORPHAN}: boolean>"
+    one = f"struct<ph: string, name: string, cat: string, id: string, pid: bigint, tid: bigint, ts: double, args: {args}>"
+    found = spark.read.schema(f"traceEvents array<{one}>").json(out)
+    at = found.select(F.explode("traceEvents").alias("t")).select("t.*")
+    mark = F.when(F.col(f"args.{spans.OPEN}"), "open").when(F.col(f"args.{spans.ORPHAN}"), "orphan_exit").alias("mark")
+    return at.select("ph", "name", "cat", "id", "pid", "tid", "ts", "args.span", "args.code", "args.state", "args.delta", mark)
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the wide table, numbered in merged order and counted."""
     # numbering keeps its rows in a checkpoint: only the columns asked for go into it

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 
 from tracewell.sources.schema import PHASES, ROLES, TAGS, EventType, Field
 
+#: The eight bytes that a file of the format begins with.
 MAGIC = bytes.fromhex("4241434b42454154")
-#: Prefix of metadata keys and marks that go with the format.
-PREFIX = MAGIC.decode().lower()
+#: Prefix of the metadata keys and marks that this engine writes.
+PREFIX = "tracewell"
 VERSION = 1
 SCHEMA, INTERN, SHARD, META, VIEWS = range(5)
 _ENVELOPE, _ENTRY = struct.Struct("<8sHHHH"), struct.Struct("<HHQQ")
