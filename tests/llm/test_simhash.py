@@ -192,3 +192,45 @@ def test_links_are_counted_once_and_hot_groups_are_cut(spark, monkeypatch):
     assert whole[1] == 61
     monkeypatch.setattr(simhash, "HOT_GROUP", 9)
     assert found() == whole
+
+
+def scattered_prints(n, centers, most, seed):
+    """Fingerprints around centers, each up to ``most - 1`` bits away from its own."""
+    rng = np.random.default_rng(seed)
+    bits = rng.random((centers, simhash.BITS))[rng.integers(centers, size=n)] < 0.5
+    for row in bits:
+        row[rng.choice(simhash.BITS, rng.integers(0, most), replace=False)] ^= True
+    return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+
+
+def test_every_pair_meets_and_is_found():
+    """No pair within the distance is lost, whatever the distance and the number of key bits; each is found once."""
+    for n, centers, most, limit, bits in ((2500, 900, 22, 20, 9), (2500, 900, 22, 20, 2), (1500, 500, 5, 3, 1), (600, 60, 40, 40, 4), (90, 9, 60, 127, 4), (60, 9, 60, 128, 4)):
+        prints = scattered_prints(n, centers, most, n)
+        tables = simhash.key_tables(bits, limit)
+        keys = simhash.table_keys(prints, tables)
+        group, table = np.unique(keys.ravel(), return_inverse=True)[1], np.repeat(np.arange(len(tables)), n)
+        again = np.tile(prints, (len(tables), 1))
+        batches = simhash.near_in_groups(group, table, again, tables, limit)
+        got = [(min(a, b), max(a, b)) for i, j in batches for a, b in zip((i % n).tolist(), (j % n).tolist())]
+        apart = [np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(1) for i in range(n)]
+        want = {(i, i + 1 + int(j)) for i in range(n) for j in np.flatnonzero(apart[i] <= limit)}
+        assert len(want) > 30 and len(got) == len(want) and set(got) == want
+
+
+def test_no_link_is_left_out(spark):
+    """Also copies at just the largest distance are linked, all of them."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for k in range(150):
+        base = rng.choices(vocabulary, k=60)
+        for c in range(3):
+            words = list(base)
+            for _ in range(3 * c):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((10 * k + c, " ".join(words)))
+    prints = Fingerprinter()([t for _, t in rows])
+    assert sum(14 < distance(prints[i], prints[i + 1]) <= simhash.MAX_DISTANCE for i in range(len(rows) - 1)) > 50
+    got = {r.doc_id: r.links for r in near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == linked_by_brute_force(rows)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,17 @@ BITS = 128
 MAX_DISTANCE = 20
 #: Share of their word triples that near-duplicates have in common at least, estimated from sketches of SLOTS bytes.
 MIN_OVERLAP, SLOTS = 0.3, 64
-#: Chance at least with which a pair at just MAX_DISTANCE is found; nearer pairs have a higher one.
-RECALL = 0.95
-#: Rows that a group of equal table keys holds on average, whatever the size of the corpus.
+#: Rows that a group of equal table keys holds on average, as far as the distance leaves keys of so many bits.
 GROUP_ROWS = 512
-#: Rows of equal table keys beyond which a group is cut into pieces, each pair of which has a task of its own.
-HOT_GROUP = 16_384
+#: Rows of equal table keys beyond which a group is cut into pieces, each pair of which is searched on its own; a
+#: corpus whose groups are larger throughout has pieces of up to HOT_MOST rows.
+HOT_GROUP, HOT_MOST = 16_384, 262_144
+#: Rows of whole groups that a task searches at a time.
+HELD_ROWS = 262_144
 FANOUT = 8
+#: Rows from which a group is searched by parts of the fingerprints, and what building, probing and comparing cost there.
+PARTED = 256
+BUILD, PROBE, COMPARE = 40, 1, 8
 _WORD = re.compile(r"\w+")
 _REMEMBER = 150_000
 
@@ -152,6 +158,12 @@ def gray_rank(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return high, np.where(odd, ~low, low)
 
 
+def gray_order(prints: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """The places of fingerprints, by group if any, in Gray order."""
+    high, low = gray_rank(prints[:, 0], prints[:, 1])
+    return np.lexsort((low, high) if group is None else (low, high, group))
+
+
 class GrayIndex:
     """Fingerprints in Gray order, group by group, under a hierarchy of shared bit patterns.
 
@@ -161,16 +173,16 @@ class GrayIndex:
     node as soon as the sum exceeds the distance allowed.
     """
 
-    def __init__(self, group: np.ndarray, prints: np.ndarray) -> None:
-        rank = gray_rank(prints[:, 0], prints[:, 1])
-        self.order = np.lexsort((rank[1], rank[0], group))
+    def __init__(self, group: np.ndarray, prints: np.ndarray, order: np.ndarray | None = None) -> None:
+        """``order``: the places by group and Gray rank, where these are known."""
+        self.order = gray_order(prints, group) if order is None else order
         self.prints = prints[self.order]
         self.group = group[self.order]
         self.levels: list[dict[str, np.ndarray]] = []
         if not len(group):
             return
         low, every, group = self.prints, self.prints, self.group
-        first, last = np.arange(len(group)), np.arange(len(group))
+        last = np.arange(len(group))
         while True:
             fresh_group = np.concatenate([[True], group[1:] != group[:-1]])
             begin = np.flatnonzero(fresh_group)
@@ -183,20 +195,29 @@ class GrayIndex:
                 parent = np.repeat(np.arange(len(starts)), level["children"])
                 self.levels[-1]["mask"] = self.levels[-1]["mask"] & ~level["mask"][parent]
             self.levels.append(level)
-            low, every, group, first, last = shared, some, group[starts], first[starts], last[ends]
-            if len(np.unique(group)) == len(group):
+            low, every, group, last = shared, some, group[starts], last[ends]
+            if (group[1:] != group[:-1]).all():
                 break
-        self.root_of = np.searchsorted(group, self.group)
+        self.roots = group
+        self.root_of = np.cumsum(np.concatenate([[False], self.group[1:] != self.group[:-1]]))
+
+    def _own(self, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(self.group), step):
+            yield np.arange(i, min(len(self.group), i + step)), self.root_of[i : i + step]
 
-    def near_pairs(self, distance: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Every pair of sorted places i < j of one group within the distance, in batches."""
-        n = len(self.group)
-        top = len(self.levels) - 1
+    def near_pairs(
+        self, distance: int, most: int = 1 << 20, begin: Iterator[tuple[np.ndarray, np.ndarray]] | None = None
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Every pair of sorted places i < j of one group within the distance, in batches.
+
+        ``begin``: for places, the groups' roots under which they are searched, in place of their own.
+        """
         step = max(1, most // FANOUT)
-        work = []
-        for i in range((n - 1) // step * step if n else -1, -1, -step):
-            rows = np.arange(i, min(n, i + step))
-            work.append((top, rows, self.root_of[rows], np.zeros(len(rows), np.int64)))
+        for rows, nodes in self._own(step) if begin is None else begin:
+            yield from self._down(rows, nodes, distance, step)
+
+    def _down(self, rows: np.ndarray, nodes: np.ndarray, distance: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        work = [(len(self.levels) - 1, rows, nodes, np.zeros(len(rows), np.int64))]
         while work:
             depth, rows, nodes, spent = work.pop()
             if len(rows) > step:
@@ -224,6 +245,133 @@ class GrayIndex:
                 yield rows[near], child[near]
 
 
+@lru_cache(maxsize=None)
+def cheapest(width: int, rows: int, distance: int) -> tuple[float, int]:
+    """What a search among ``rows`` fingerprints of ``width`` bits costs a row, and in how many parts; 0 if comparing all is cheaper.
+
+    The costs are those of evenly spread bits and matter for time only.
+    """
+    best = COMPARE * rows / 2, 0
+    for m in range(1, min(distance + 1, width) + 1):
+        cost = BUILD * m
+        for k in range(m):
+            bits, radius = width // m + (k < width % m), (distance + 1) // m - (k >= (distance + 1) % m)
+            if bits > math.log2(rows) + 2:
+                cost = math.inf
+                break
+            cost += sum(math.comb(bits, r) for r in range(radius + 1)) * (PROBE + COMPARE * rows / 2 / (1 << bits))
+        best = min(best, (cost, m))
+    return best
+
+
+def parts_of(places: np.ndarray, rows: int, distance: int) -> list[tuple[np.ndarray, int]]:
+    """Parts of the bit places, each with a radius, for the search among ``rows`` fingerprints; none if comparing all is cheaper.
+
+    Two fingerprints within the distance on these places are within the radius on at least one part: the radii,
+    one more each, add up to the distance and one.
+    """
+    m = cheapest(len(places), rows, distance)[1]
+    return [(part, (distance + 1) // m - (k >= (distance + 1) % m)) for k, part in enumerate(np.array_split(places, m))] if m else []
+
+
+def values_at(prints: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits at the places, as a number."""
+    value = np.zeros(len(prints), np.int64)
+    for k, p in enumerate(places.tolist()):
+        value |= (prints[:, p // 64] >> np.uint64(63 - p % 64) & np.uint64(1)).astype(np.int64) << np.int64(k)
+    return value
+
+
+def flips(width: int, radius: int) -> np.ndarray:
+    """All numbers of ``width`` bits of which at most ``radius`` are set, that without any first."""
+    return np.array([sum(1 << b for b in on) for r in range(radius + 1) for on in combinations(range(width), r)], np.int64)
+
+
+def near_in_group(
+    prints: np.ndarray, parts: list[tuple[np.ndarray, int]], distance: int, most: int = 1 << 20
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of ``prints`` within the distance, each once, in batches: at least all within the radius of a part.
+
+    For each part of the bits the fingerprints of equal bits there have a Gray index of their own, and each
+    fingerprint goes down those whose bits are within the part's radius of its own.
+    """
+    n = len(prints)
+    ranked = gray_order(prints)
+    ahead, values = 0.0, []
+    for part, radius in parts:
+        values.append(values_at(prints, part))
+        many = np.bincount(values[-1], minlength=1 << len(part)).astype(float)
+        by = flips(len(part), radius)
+        some = by[:: max(1, len(by) // 4)]
+        ahead += sum(many @ many[np.arange(len(many)) ^ f] for f in some.tolist()) / len(some) * len(by)
+    if not parts or ahead > n * n:  # bits so uneven that the parts would compare more than there are pairs
+        index = GrayIndex(np.zeros(n, np.int64), prints, ranked)
+        for i, j in index.near_pairs(distance, most):
+            yield index.order[i], index.order[j]
+        return
+    masks = table_masks([part for part, _ in parts])
+    for at, (part, radius) in enumerate(parts):
+        order = np.argsort(values[at][ranked].astype(np.uint16 if len(part) <= 16 else np.int64), kind="stable")
+        index = GrayIndex(values[at], prints, ranked[order])
+        node_at = np.full(1 << len(part), -1, np.int64)
+        node_at[index.roots] = np.arange(len(index.roots))
+        by = flips(len(part), radius)
+
+        def begin() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            step = max(1, most // len(by))
+            for i in range(0, n, step):
+                nodes = node_at[index.group[i : i + step, None] ^ by]
+                row, k = np.nonzero(nodes >= index.root_of[i : i + step, None])
+                yield i + row, nodes[row, k]
+
+        for i, j in index.near_pairs(distance, most, begin()):
+            apart = index.prints[i] ^ index.prints[j]
+            new = np.ones(len(i), bool)
+            for mask, (_, before) in zip(masks[:at], parts):
+                new &= np.bitwise_count(apart & mask).sum(1) > before
+            yield index.order[i[new]], index.order[j[new]]
+
+
+def meet_first(apart: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Which of the pairs, given by their differing bits and a table they meet in, meet in no table before."""
+    left = np.arange(len(apart))
+    for t, mask in enumerate(masks[: table.max(initial=0)]):
+        left = left[((apart[left] & mask) != 0).any(1) | (table[left] <= t)]
+    return left
+
+
+def near_in_groups(group: np.ndarray, table: np.ndarray, prints: np.ndarray, tables: list[np.ndarray], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of places of one group within the distance that meets in no table before, once, in batches.
+
+    The fingerprints of a group agree on the key bits of its table.  Those that didn't meet before differ in the
+    key of each earlier table, so beyond the first few keys they have that much less of the distance left.
+    """
+    masks = table_masks(tables)
+
+    def fresh_pairs(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(i), 65_536):
+            a, b = i[k : k + 65_536], j[k : k + 65_536]
+            left = meet_first(prints[a] ^ prints[b], table[a], masks)
+            yield a[left], b[left]
+
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(group) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(group)))
+    few = order[np.repeat(sizes < PARTED, sizes)]
+    index = GrayIndex(group[few], prints[few])
+    for i, j in index.near_pairs(distance):
+        yield from fresh_pairs(few[index.order[i]], few[index.order[j]])
+    shuffled = np.random.default_rng(7).permutation(BITS)
+    for k in np.flatnonzero(sizes >= PARTED).tolist():
+        rows = order[starts[k] : starts[k] + sizes[k]]
+        t, about = int(table[rows[0]]), 3 << int(sizes[k]).bit_length() >> 2
+        free = BITS - len(tables[t]) - np.cumsum([0, *[len(key) for key in tables[:t]]])
+        past = min(range(t + 1), key=lambda past: cheapest(int(free[past]), about, distance - past)[0])
+        places = shuffled[~np.isin(shuffled, np.concatenate([tables[t], *tables[:past]]))]
+        for i, j in near_in_group(prints[rows], parts_of(places, about, distance - past), distance):
+            yield from fresh_pairs(rows[i], rows[j])
+
+
 class Forest:
     """Disjoint sets over places, joined many pairs at a time; a set's root is its least place."""
 
@@ -254,25 +402,24 @@ def key_bits(rows: int) -> int:
     return max(4, min(40, round(math.log2(max(rows, 1) / GROUP_ROWS)))) if rows > GROUP_ROWS else 4
 
 
-def key_tables(bits: int, distance: int = MAX_DISTANCE, recall: float = RECALL, seed: int = 5) -> np.ndarray:
-    """For each table, the bit places that form its key; as many tables as the recall takes.
+def key_tables(bits: int, distance: int = MAX_DISTANCE, seed: int = 5) -> list[np.ndarray]:
+    """For each table, the bit places that form its key: ``bits`` of them, or fewer.
 
-    A pair at ``distance`` agrees on all ``bits`` places of a random key with the chance below.
+    No place is in two keys and there are more tables than ``distance``, so fingerprints that differ in no more bits
+    agree on all of at least one key.  If the distance is that of all bits, the one key is empty.
     """
-    chance = math.prod((BITS - distance - i) / (BITS - i) for i in range(bits))
-    tables = math.ceil(math.log(1 - recall) / math.log1p(-chance))
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(BITS, bits, replace=False) for _ in range(tables)])
+    order = np.random.default_rng(seed).permutation(BITS)
+    if distance >= BITS:
+        return [order[:0]]
+    return [places[:bits] for places in np.array_split(order, distance + 1)]
 
 
-def table_keys(prints: np.ndarray, tables: np.ndarray) -> np.ndarray:
+def table_keys(prints: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     """(tables, rows): the key of each fingerprint in each table, with the table's number on top."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
-    weights = np.int64(1) << np.arange(tables.shape[1], dtype=np.int64)
-    return np.stack([(np.int64(t) << np.int64(40)) + bits[:, places] @ weights for t, places in enumerate(tables)])
+    return np.stack([(np.int64(t) << np.int64(40)) + values_at(prints, places) for t, places in enumerate(tables)])
 
 
-def table_masks(tables: np.ndarray) -> np.ndarray:
+def table_masks(tables: list[np.ndarray]) -> np.ndarray:
     """(table, 2): the bits of each table's key, as a mask of fingerprints."""
     masks = np.zeros((len(tables), 2), np.uint64)
     for t, places in enumerate(tables):
@@ -281,7 +428,7 @@ def table_masks(tables: np.ndarray) -> np.ndarray:
     return masks
 
 
-def _links(prints: DataFrame, rows: int, distance: int, recall: float) -> DataFrame:
+def _links(prints: DataFrame, rows: int, distance: int) -> DataFrame:
     """(a, b, n) for distinct fingerprints and sketches: edges (b is set) that join all near-duplicates, and
     parts of the number of rows that ``a`` is linked to (n is set).
 
@@ -289,8 +436,8 @@ def _links(prints: DataFrame, rows: int, distance: int, recall: float) -> DataFr
     sketches.
     """
     spark = prints.sparkSession
-    tables = key_tables(key_bits(rows), distance, recall)
-    masks = table_masks(tables)
+    tables = key_tables(key_bits(rows), distance)
+    piece_rows = max(HOT_GROUP, min(HOT_MOST, 2 * rows >> min(len(t) for t in tables)))
 
     def keys_of(batch: pa.RecordBatch) -> np.ndarray:
         return table_keys(np.stack([batch.column(k).to_numpy() for k in (0, 1)], 1).view(np.uint64), tables).ravel()
@@ -307,41 +454,55 @@ def _links(prints: DataFrame, rows: int, distance: int, recall: float) -> DataFr
                 again = pa.array(np.tile(np.arange(part.num_rows), len(tables)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys_of(part)), *[c.take(again) for c in part.columns]], names=["key", *part.schema.names])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if held is None:
-            return
+    def found(held: pa.Table) -> Iterator[pa.RecordBatch]:
         both = np.stack([held["high"].to_numpy(), held["low"].to_numpy()], 1).view(np.uint64)
-        key, block = held["key"].to_numpy(), held["block"].to_numpy()
-        index = GrayIndex(np.unique(np.stack([key, block], 1), axis=0, return_inverse=True)[1].ravel(), both)
-        table, piece, across = (x[index.order] for x in (key >> 40, held["piece"].to_numpy(), held["across"].to_numpy(zero_copy_only=False)))
+        key, piece, across = held["key"].to_numpy(), held["piece"].to_numpy(), held["across"].to_numpy()
+        table, group = key >> 40, np.cumsum(changes(held)) - 1
         forest = Forest(held.num_rows)
-        sketch = np.frombuffer(b"".join(held["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS)[index.order]
-        many = held["m"].to_numpy()[index.order]
-        ids = held["id"].to_numpy()[index.order]
+        sketch = np.frombuffer(b"".join(held["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+        many, ids = held["m"].to_numpy(), held["id"].to_numpy()
         links = np.zeros(len(ids), np.int64)
-        for pairs in index.near_pairs(distance):
-            for k in range(0, len(pairs[0]), 65_536):
-                i, j = (x[k : k + 65_536] for x in pairs)
-                on = ~across[i] | (piece[i] != piece[j])
-                i, j = i[on], j[on]
-                met = ((index.prints[i] ^ index.prints[j])[:, None, :] & masks == 0).all(2)
-                on = met.argmax(1) == table[i]
-                i, j = i[on], j[on]
-                alike = overlap(sketch[i], sketch[j]) >= MIN_OVERLAP
-                i, j = i[alike], j[alike]
-                np.add.at(links, i, many[j])
-                np.add.at(links, j, many[i])
-                forest.join(i, j)
+        for i, j in near_in_groups(group, table, both, tables, distance):
+            on = ~across[i] | (piece[i] != piece[j])
+            i, j = i[on], j[on]
+            alike = overlap(sketch[i], sketch[j]) >= MIN_OVERLAP
+            i, j = i[alike], j[alike]
+            np.add.at(links, i, many[j])
+            np.add.at(links, j, many[i])
+            forest.join(i, j)
         linked = np.flatnonzero(forest.parent != np.arange(len(ids)))
         edges = np.unique(np.stack([ids[linked], ids[forest.parent[linked]]], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.nulls(len(edges), pa.int64())], names=["a", "b", "n"])
         some = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], names=["a", "b", "n"])
 
+    def changes(held: pa.Table) -> np.ndarray:
+        key, block = held["key"].to_numpy(), held["block"].to_numpy()
+        return np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come by key and block; whole groups are searched as soon as there are enough rows."""
+        held, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD_ROWS:
+                all_rows = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(changes(all_rows))[-1])
+                if last:
+                    yield from found(all_rows.slice(0, last))
+                    held = all_rows.slice(last).combine_chunks().to_batches()
+                    count -= last
+                else:
+                    held = all_rows.to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * len(tables) / 500_000))
     counts = prints.select("high", "low").mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = stage(counts.where(F.col("n") > HOT_GROUP).select("key", F.ceil(F.col("n") / HOT_GROUP).cast("int").alias("p")), "hot")
+    hot = stage(counts.where(F.col("n") > piece_rows).select("key", F.ceil(F.col("n") / piece_rows).cast("int").alias("p")), "hot")
     scattered = prints.select("high", "low", "id", "m", "sketch").mapInArrow(scatter, "key long, high long, low long, id long, m long, sketch binary")
     if hot.limit(1).count():
         mine = F.pmod(F.xxhash64(F.lit(6), "id"), F.col("p")).cast("int")
@@ -353,14 +514,14 @@ def _links(prints: DataFrame, rows: int, distance: int, recall: float) -> DataFr
         scattered = scattered.repartition(parts, "key", "block")
     else:
         scattered = scattered.repartition(parts, "key").withColumns({"piece": F.lit(0), "block": F.lit(0), "across": F.lit(False)})
-    return scattered.mapInArrow(search, "a long, b long, n long")
+    return scattered.sortWithinPartitions("key", "block").mapInArrow(search, "a long, b long, n long")
 
 
-def _grouped(keyed: DataFrame, distance: int, recall: float) -> DataFrame:
+def _grouped(keyed: DataFrame, distance: int) -> DataFrame:
     """``keyed`` rows (uid, doc_id, high, low, sketch) with ``group``, the least uid of the row's component, and ``links``."""
     print_of = ["high", "low", "sketch"]
     distinct = stage(keyed.where("high is not null").groupBy(*print_of).agg(F.min("uid").alias("id"), F.count(F.lit(1)).alias("m")), "prints")
-    links = stage(_links(distinct, distinct.count(), distance, recall), "links")
+    links = stage(_links(distinct, distinct.count(), distance), "links")
     roots = components(links.where("b is not null").select("a", "b"))
     linked = links.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     joined = distinct.join(roots, distinct.id == roots.node, "left").join(linked, "id", "left")
@@ -376,16 +537,15 @@ def _heads(groups: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE, recall: float = RECALL
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE
 ) -> DataFrame:
     """For every row of ``docs``: (doc_id, group_id, group_size, links, kept).
 
     Two rows are linked if their fingerprints differ in at most ``distance`` of 128 bits and they share about
     MIN_OVERLAP of their word triples or more, by an estimate that each pair must pass; ``links`` is the number
     of rows linked to this one.  Rows are in one group if a chain of links joins them.  ``group_id`` is the
-    least doc_id of the group; ``kept`` is true for one row of each group, that of the least doc_id.  Pairs at
-    the largest distance are found with chance ``recall``, nearer ones with a higher one; equal fingerprints
-    always meet.  Texts of equal words in another order are no near-duplicates.
+    least doc_id of the group; ``kept`` is true for one row of each group, that of the least doc_id.  Every pair
+    within the distance is found.  Texts of equal words in another order are no near-duplicates.
 
     A null text has no fingerprint: its row is a group of its own, without links, and is kept.  Texts without
     any word are in one group if they are equal but for outer white space.  Of rows with equal (or only null)
@@ -395,12 +555,12 @@ def near_duplicate_groups(
     """
     narrow = fingerprinted(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), ["doc_id"], "text", ("high", "low", "sketch"))
     keyed = stage(narrow.withColumn("uid", F.monotonically_increasing_id()), "keyed")
-    groups = stage(_grouped(keyed, distance, recall), "groups")
+    groups = stage(_grouped(keyed, distance), "groups")
     return groups.join(_heads(groups), "group").select("doc_id", "group_id", "group_size", "links", (F.col("uid") == F.col("head")).alias("kept"))
 
 
 def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE, recall: float = RECALL
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE
 ) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which :func:`near_duplicate_groups` keeps one a group.
 
@@ -414,6 +574,6 @@ def drop_near_duplicates(
     numbered = fingerprinted(docs, columns, text, (high, low, sketch)).withColumn(uid, F.monotonically_increasing_id())
     table = stage(numbered, "numbered")
     keyed = table.select(quoted(uid).alias("uid"), quoted(doc_id).alias("doc_id"), quoted(high).alias("high"), quoted(low).alias("low"), quoted(sketch).alias("sketch"))
-    groups = stage(_grouped(keyed, distance, recall), "groups")
+    groups = stage(_grouped(keyed, distance), "groups")
     gone = stage(groups.join(_heads(groups), "group").where("uid != head").select(F.col("uid").alias(uid)), "gone")
     return table.join(broadcast_if_small(gone), uid, "left_anti").select(*[quoted(c) for c in columns])
