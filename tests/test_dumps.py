@@ -4,6 +4,9 @@ import json
 import struct
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,8 +16,8 @@ from tracewell import engine
 from tracewell.__main__ import main
 from tracewell.functions import ids
 from tracewell.operators import views, wide
-from tracewell.sources import wire
-from tracewell.sources.ring import WRAPPED, Ring, repacked, walk
+from tracewell.sources import dump_source, footers, wire
+from tracewell.sources.ring import WRAPPED, Ring, packed, repacked, walk, walk_pieces
 from tracewell.sources.schema import Declared, EventType, Field, Registry, content_id, event
 
 
@@ -141,6 +144,45 @@ def test_odd_regions():
         Ring(32).push(0, 7, b"x" * 60)
 
 
+class Watched:
+    """A region of a ring in which the longest stretch read at once is noted."""
+
+    def __init__(self, ring):
+        self.region, self.most = bytes(ring.region), 0
+
+    def __call__(self, begin, n):
+        assert begin + n <= len(self.region)
+        self.most = max(self.most, n)
+        return self.region[begin : begin + n]
+
+
+@pytest.mark.parametrize("pushed", [3, 500, 2000])
+def test_a_ring_is_read_in_pieces(pushed):
+    ring, kinds = Ring(1 << 14), {7: 8, 8: 0, 9: 31}
+    for i in range(pushed):
+        ring.push(i, 7 + i % 3, bytes([i % 251]) * kinds[7 + i % 3])
+    at = ring.head - ring.capacity // 3 & ring.capacity - 1
+    ring.region[at : at + 40] = b"\x77" * len(ring.region[at : at + 40])  # damage
+    want = list(walk(bytes(ring.region), ring.head, ring.capacity, kinds))
+    for piece in (1, 50, 100, 1000):
+        region = Watched(ring)
+        assert list(walk_pieces(region, ring.head, ring.capacity, kinds, piece)) == want
+        assert region.most <= max(piece, 31 + 18)
+
+
+def test_packed_columns():
+    rows = [(2**63 + i, 2**64 - 1 - i, bytes([i]) * (i % 4 * 5)) for i in range(50)]
+    bits = lambda k: np.array([r[k] for r in rows], np.uint64).view(np.int64)
+    fields = pa.array([b"x" * 9, *[r[2] for r in rows]], pa.binary()).slice(1)
+    body, head = repacked(rows)
+    assert packed(bits(0), bits(1), fields) == body[:head]
+    assert packed(bits(0)[:0], bits(1)[:0], fields[:0]) == b"" and packed(bits(0)[3:4], bits(1)[3:4], fields[3:4]) == repacked(rows[3:4])[0][:33]
+    with pytest.raises(ValueError):
+        packed(bits(0)[:1], bits(1)[:1], pa.array([b"x" * 65_530]))
+    with pytest.raises(ValueError):
+        packed(bits(0)[:1], bits(1)[:1], pa.array([None], pa.binary()))
+
+
 # ---- format
 
 
@@ -285,6 +327,45 @@ def test_merge_and_splice(spark, tmp_path):
         engine.merge(spark, [str(a)], str(tmp_path / "x"))
 
 
+def test_a_ring_is_written_by_many_tasks(spark, tmp_path):
+    a, b = tmp_path / "a.dump", tmp_path / "b.dump"
+    dump(a, [(1000 + i, (PACKET, CONNECT)[i % 2], packet(1, i) if i % 2 == 0 else connect(i)) for i in range(600)])
+    dump(b, [(5000 - i, PACKET, packet(2, i)) for i in range(300)], shard=1)
+    writer = dump_source.DumpWriter({"out": str(tmp_path / "w.dump"), "token": "t"})
+    records = engine.load(spark, str(a), str(b), str(a)).unique_raw().orderBy("shard_id", "ts_key", "phys_offset").toPandas()
+    records["place"] = range(len(records))
+    batches = [pa.RecordBatch.from_pandas(records.iloc[i : i + 70]) for i in range(0, len(records), 70)]
+    parts = [writer.write(iter(batches[k : k + 3])) for k in range(0, len(batches), 3)]
+    writer.commit(parts[::-1])
+    assert len(parts) > 3 and sum(len(p.pieces) for p in parts) > len(parts)
+    before = wire.Dump((tmp_path / "w.dump").read_bytes())
+    assert before.sections[-1].offset + before.sections[-1].length == len(before.data)
+    engine.merge(spark, [str(a), str(b), str(a)], str(tmp_path / "m.dump"))
+    rings = lambda name: [(h.shard_id, h.head, h.capacity, region) for h, region in wire.Dump((tmp_path / name).read_bytes()).shards()]
+    assert rings("m.dump") == rings("w.dump") and [r[0] for r in rings("m.dump")] == [0, 1]
+    _, head, capacity, region = rings("m.dump")[1]
+    assert [t for t, *_ in walk(region, head, capacity, {PACKET.id: 24})] == [5000 - i for i in range(300)]
+
+
+def test_footers_keep_all_else(tmp_path):
+    table = pa.table({"n": pa.array(range(1000), pa.int64()), "t": [f"é{i}" for i in range(1000)], "d": pa.array([Decimal(i) for i in range(1000)], pa.decimal128(20, 0))})
+    source, out = str(tmp_path / "s.parquet"), str(tmp_path / "o.parquet")
+    pq.write_table(table.replace_schema_metadata({f"k{i}": "old" for i in range(20)}), source, row_group_size=100, compression="zstd", write_page_index=True)
+    footers.copy_with_keys(source, out, {"k3": "new", "long": "é" * 70_000})
+    said = pq.read_metadata(out).metadata
+    assert said[b"k3"] == b"new" and said[b"long"].decode() == "é" * 70_000 and said[b"k4"] == b"old" and said.keys() == pq.read_metadata(source).metadata.keys() | {b"long"}
+    assert pq.read_table(out).equals(table) and pq.read_metadata(out).num_row_groups == 10
+    assert [pq.read_metadata(out).row_group(3).column(k).to_dict() for k in range(3)] == [pq.read_metadata(source).row_group(3).column(k).to_dict() for k in range(3)]
+    size = len((tmp_path / "s.parquet").read_bytes()) - 8 - pq.read_metadata(source).serialized_size
+    assert (tmp_path / "o.parquet").read_bytes()[:size] == (tmp_path / "s.parquet").read_bytes()[:size]
+    pq.write_table(pa.table({"n": [1]}), source, store_schema=False)
+    footers.copy_with_keys(source, out, {"a": "b"})
+    assert pq.read_metadata(out).metadata == {b"a": b"b"} and pq.read_table(out).to_pylist() == [{"n": 1}]
+    (tmp_path / "s.parquet").write_bytes(b"PAR1 no footer PARE")
+    with pytest.raises(ValueError):
+        footers.copy_with_keys(source, out, {})
+
+
 def test_two_recorders_and_shards_in_order(spark, tmp_path):
     a, b = tmp_path / "a.dump", tmp_path / "b.dump"
     dump(a, three(), instance=7, shard=1)
@@ -312,6 +393,35 @@ def test_trace(spark, tmp_path):
     assert plain["s"] == "t" and plain["args"]["window"] == 4096 and "id" not in plain
 
 
+def test_rings_that_are_there_once_are_not_compared(spark, tmp_path):
+    a, b = tmp_path / "a.dump", tmp_path / "b.dump"
+    ring = dump(a, [(1000 + i, PACKET, packet(1, i)) for i in range(40)], ring=Ring(1 << 9))
+    dump(b, [(2000, PACKET, packet(1, i)) for i in range(40)], shard=1)
+    once, twice = engine.load(spark, str(a), str(b)), engine.load(spark, str(a), str(b), str(a))
+    plan = lambda r: r.unique_raw()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(once) and "Aggregate" in plan(twice)
+    of = lambda r: sorted((int(x.ts_nanos), x.shard_id, x.phys_offset, bytes(x.fields)) for x in r.records().collect())
+    assert of(once) == of(twice) and len({x[:3] for x in of(once)}) == len(of(once)) == 512 // 42 + 40 and ring.head > 512
+    assert sorted(map(tuple, once.trace().collect())) == sorted(map(tuple, twice.trace().collect()))
+
+
+def test_trace_is_read_in_pieces(spark, tmp_path):
+    a, out = tmp_path / "a.dump", str(tmp_path / "t.json")
+    dump(a, [(1000 + i, PACKET, packet(1, i)) for i in range(200)])
+    assert engine.write_trace(engine.load(spark, str(a)), out) == 200
+    doc = json.loads((tmp_path / "t.json").read_text())["traceEvents"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = engine.read_trace(spark, out, "struct<ph: string, name: string, ts: double, args: struct<packet_number: bigint>>")
+        assert got.rdd.getNumPartitions() > 2
+        assert [(r.ph, r.name, r.ts, r.args.packet_number) for r in got.collect()] == [(e["ph"], e["name"], e["ts"], e["args"]["packet_number"]) for e in doc]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    dump(a, [])
+    assert engine.write_trace(engine.load(spark, str(a)), out) == 0 and json.loads((tmp_path / "t.json").read_text())["traceEvents"] == []
+    assert engine.read_trace(spark, out, "struct<ph: string>").count() == 0
+
+
 def test_plan_details():
     seq = event("a::tick", Declared("seq", "u64", role="key"), Declared("Event", "u8", role="key"))
     drift = [event("a::one", Declared("x", "u64", role="key")), event("b::two", Declared("x", "i64", role="key"))]

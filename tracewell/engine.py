@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 from tracewell.functions.ids import u64
 from tracewell.operators import sets, spans, views, wide
 from tracewell.sources import wire
-from tracewell.sources.dump_source import Headers, read_headers, read_records, write_regions
-from tracewell.sources.ring import repacked
+from tracewell.sources.dump_source import Headers, read_headers, read_records, write_rings
+from tracewell.sources.footers import copy_bytes, copy_with_keys
 from tracewell.sources.schema import Registry
 
-MASK = (1 << 64) - 1
 #: The order-preserving identity of records while their ids are still bits.
 _BITS = ("ts_key", "instance_key", "shard_id", "phys_offset")
 
@@ -81,8 +80,12 @@ class Recording:
         return read_records(self.spark, self.paths, types).withColumn("ts_key", flip("ts_bits")).withColumn("instance_key", flip("instance_bits"))
 
     def unique_raw(self, types: list[int] | None = None) -> DataFrame:
-        """One record of each identity, that of the first file and ring; compared by integers only."""
-        return sets.unique(self.raw(types), ("file_idx", "section_idx"), _BITS)
+        """One record of each identity, that of the first file and ring; compared by integers only.
+
+        Within a ring no two records have one offset, so nothing is compared where every ring is there once.
+        """
+        rings, raw = [(s.instance_id, s.shard_id) for h in self.headers for _, s in h.shards], self.raw(types)
+        return raw if len(set(rings)) == len(rings) else sets.unique(raw, ("file_idx", "section_idx"), _BITS)
 
     def records(self, types: list[int] | None = None, dedup: bool = True) -> DataFrame:
         """(ts_nanos, event_id, instance_id, shard_id, phys_offset, fields), ids as unsigned decimals."""
@@ -121,7 +124,9 @@ class Recording:
         return rows.select("instance_id", "shard_id", "ts_nanos", "phys_offset", name.alias("name"), phase.alias("phase"), span.alias("span_id"), args.alias("args"))
 
     def trace(self) -> DataFrame:
-        return spans.trace_events(self.span_records())
+        # copies don't change the last time, so they needn't be dropped for it
+        last = self.raw().agg(F.max("ts_key").alias("k")).select(wide.unsigned_bits(F.col("k").bitwiseXOR(F.lit(-(1 << 63)))).alias("ts_nanos"))
+        return spans.trace_events(self.span_records(), last)
 
 
 def load(spark: SparkSession, *paths: str) -> Recording:
@@ -145,7 +150,7 @@ def convert(spark: SparkSession, paths: list[str], out: str | None = None, forma
     """Dumps as one table or one trace; returns where it is.
 
     A table is a folder of Parquet files in merged order, each with the format, host and views in its
-    footer, and a ``.views.sql`` beside it.  A trace is one JSON file.
+    footer, and a ``.views.sql`` beside it.  A trace is one JSON file with a line for each event.
     """
     kind = output_format(out, format)
     out = out or str(Path(paths[0]).with_suffix(".parquet" if kind == "parquet" else ".json"))
@@ -168,7 +173,8 @@ def convert(spark: SparkSession, paths: list[str], out: str | None = None, forma
 def write_table(events: DataFrame, out: str, footer: dict[str, str], level: int = 3) -> None:
     """Parquet in the order of ``seq``, with extra keys in each file's footer, which Spark's own writer can't add.
 
-    Spark writes the rows (row groups by size, zstd); the footers are then written anew, task by task.
+    Spark writes the rows (row groups by size, zstd); files are then copied, task by task, each with a new footer:
+    no row is decoded for that.
     """
     spark = events.sparkSession
     draft = f"{out}.draft-{uuid.uuid4().hex}"
@@ -180,12 +186,7 @@ def write_table(events: DataFrame, out: str, footer: dict[str, str], level: int
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path in frame["path"]:
-                source = pq.ParquetFile(path)
-                schema = source.schema_arrow
-                schema = schema.with_metadata({**(schema.metadata or {}), **{k.encode(): v.encode() for k, v in footer.items()}})
-                with pq.ParquetWriter(f"{out}/{Path(path).name}", schema, compression="zstd", compression_level=level) as writer:
-                    for i in range(source.num_row_groups):
-                        writer.write_table(source.read_row_group(i).replace_schema_metadata(schema.metadata))
+                copy_with_keys(path, f"{out}/{Path(path).name}", footer)
             yield frame
 
     spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files))).mapInPandas(add, "path string").foreach(lambda r: None)
@@ -199,24 +200,44 @@ def footer_of(path: str) -> dict[str, str]:
     return {k.decode(): v.decode() for k, v in meta.items() if k.decode().startswith(f"{wire.PREFIX}.")}
 
 
+_TRACE_START, _TRACE_END = '{"displayTimeUnit":"ns","traceEvents":[', "]}"
+
+
 def write_trace(recording: Recording, out: str) -> int:
-    """One trace file; its events, in order of time, are written in parts and put together.  Returns their number."""
+    """One trace file; its events, in order of time, are written in parts and put together.  Returns their number.
+
+    Each event has a line of its own, so that :func:`read_trace` can take the file in pieces.  Parts are joined as
+    bytes: tasks write the commas.
+    """
     parts = f"{out}.parts-{uuid.uuid4().hex}"
-    rows = spans.trace_json(recording.trace())
-    rows.orderBy("ts_nanos", "pid", "tid").select("value").write.text(parts)
+    # sorted before it is text: Spark makes the rows to be sorted twice, as it looks for the bounds of parts first
+    rows = spans.trace_json(recording.trace().orderBy("ts_nanos", "pid", "tid"))
+    rows.select("value").write.option("lineSep", ",\n").text(parts)
     n = 0
-    with open(out, "w") as f:
-        f.write('{"displayTimeUnit":"ns","traceEvents":[')
+    with open(out, "wb") as f:
+        f.write(f"{_TRACE_START}\n".encode())
         for part in sorted(glob.glob(f"{parts}/part-*")):
-            with open(part) as lines:
-                for line in lines:
-                    f.write("," * (n > 0) + line.rstrip("\n"))
-                    n += 1
-        f.write("]}")
+            with open(part, "rb") as lines:
+                while piece := lines.read(1 << 22):
+                    f.write(piece)
+                    n += piece.count(b"\n")
+        if n:  # the last event has no comma
+            f.seek(-2, os.SEEK_CUR)
+            f.write(b"\n")
+        f.write(_TRACE_END.encode())
     shutil.rmtree(parts)
     return n
 
 
+def read_trace(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The events of a file of :func:`write_trace`, typed by ``schema`` (that of one event): lines, read by many tasks.
+
+    As one JSON document the file would be one row, which one task parses whole.
+    """
+    lines = spark.read.text(path, lineSep="\n").where(~F.col("value").isin(_TRACE_START, _TRACE_END))
+    return lines.select(F.from_json(F.rtrim("value", F.lit(",")), schema, {"mode": "FAILFAST"}).alias("t")).select("t.*")
+
+
 # ---- merge
 
 
@@ -247,13 +268,7 @@ def merge(spark: SparkSession, paths: list[str], out: str, dedup: bool = True) -
         if i in entries:
             before.append((wire.INTERN, wire.intern_body(i, entries[i].items())))
 
-    def region(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_key", "phys_offset"], kind="stable")
-        body, head = repacked(zip((int(x) & MASK for x in pdf.ts_bits), (int(x) & MASK for x in pdf.type_bits), pdf.fields))
-        return pd.DataFrame({"instance_bits": [pdf.instance_bits.iloc[0]], "shard_id": [pdf.shard_id.iloc[0]], "head": [head], "region": [body]})
-
-    regions = recording.unique_raw().groupBy("instance_bits", "shard_id").applyInPandas(region, "instance_bits long, shard_id long, head long, region binary")
-    write_regions(regions, out, before)
+    write_rings(recording.unique_raw(), ["ts_key", "phys_offset"], out, before)
     return out
 
 
@@ -268,11 +283,7 @@ def splice(recording: Recording, out: str) -> None:
         for path, s in copied:
             with open(path, "rb") as source:
                 source.seek(s.offset)
-                left = s.length
-                while left:
-                    piece = source.read(min(left, 1 << 20))
-                    f.write(piece)
-                    left -= len(piece)
+                copy_bytes(source, f, s.length)
 
 
 def write_dump(records: DataFrame, registry: Registry, interns: dict[int, list[tuple[int, bytes]]], hosts: dict[int, str], out: str, registered: list[str] = ()) -> None:
@@ -280,15 +291,12 @@ def write_dump(records: DataFrame, registry: Registry, interns: dict[int, list[t
     before = [(wire.SCHEMA, wire.types_body(registry.types.values()))]
     before += [(wire.INTERN, wire.intern_body(i, e)) for i, e in interns.items()]
     before += [(wire.VIEWS, v.encode()) for v in registered] + [(wire.META, wire.meta_body(i, h)) for i, h in hosts.items()]
-    signed = lambda c: F.when(F.col(c) >= F.lit(Decimal(1 << 63)), F.col(c) - F.lit(Decimal(1 << 64))).otherwise(F.col(c)).cast("bigint").alias(c)
-
-    def region(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival", kind="stable")
-        body, head = repacked(zip((int(x) & MASK for x in pdf.ts_nanos), (int(x) & MASK for x in pdf.event_id), pdf.fields))
-        return pd.DataFrame({"instance_bits": [pdf.instance_id.iloc[0]], "shard_id": [pdf.shard_id.iloc[0]], "head": [head], "region": [body]})
+    signed = lambda c: F.when(F.col(c) >= F.lit(Decimal(1 << 63)), F.col(c) - F.lit(Decimal(1 << 64))).otherwise(F.col(c)).cast("bigint")
 
-    rows = records.select(signed("ts_nanos"), signed("event_id"), signed("instance_id"), F.col("shard_id").cast("long").alias("shard_id"), "fields", "arrival")
-    write_regions(rows.groupBy("instance_id", "shard_id").applyInPandas(region, "instance_bits long, shard_id long, head long, region binary"), out, before)
+    rows = records.select(
+        signed("ts_nanos").alias("ts_bits"), signed("event_id").alias("type_bits"), signed("instance_id").alias("instance_bits"), F.col("shard_id").cast("long").alias("shard_id"), "fields", "arrival"
+    )
+    write_rings(rows, ["arrival", "ts_bits", "type_bits", "fields"], out, before)
 
 
 # ---- inspect

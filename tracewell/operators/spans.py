@@ -78,21 +78,24 @@ def tree(spans: DataFrame, root_depth: int = 0) -> DataFrame:
     return at.join(roots, ["instance_id", "up"]).select(*KEY, "parent_span_id", (F.col("steps") + root_depth).cast("int").alias("depth"), F.col("up").alias("root_id"))
 
 
-def trace_events(records: DataFrame) -> DataFrame:
+def trace_events(records: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """Rows of (ph, name, cat, id, pid, tid, ts, ts_nanos, mark, args) as trace viewers take them.
 
     ``records`` also have ``name``, ``shard_id`` and ``args`` (JSON text or null).  An enter with an exit
     is a ``b``, one without a ``b`` and an ``e`` at the last time of the whole recording; an exit with an
     enter is an ``e``, one without an instant; all else is an instant.  ``mark`` names what was made up.
-    Whether a span has its other half comes from one window over its key, the last time from one aggregate.
+    Whether a span has its other half comes from one window over its key, the last time from one aggregate (of
+    ``times``, if they are to be had for less than ``records``).
     """
-    w = Window.partitionBy(*KEY)
+    in_span = F.coalesce((F.col("phase") != "none") & F.col("span_id").isNotNull(), F.lit(False))
+    # one pass for all: rows outside of spans are spread by their place, and each is looked at alone or nearly so
+    spread = F.when(~F.col("_in"), F.xxhash64("ts_nanos", "shard_id", "name"))
+    w = Window.partitionBy("instance_id", F.when(F.col("_in"), F.col("span_id")), spread)
     has = lambda phase: F.coalesce(F.max(F.when(F.col("phase") == phase, True)).over(w), F.lit(False))
-    in_span = (F.col("phase") != "none") & F.col("span_id").isNotNull()
-    spans = records.where(in_span).withColumn("other", F.when(F.col("phase") == "enter", has("exit")).otherwise(has("enter")))
-    plain = records.where(~in_span | in_span.isNull()).withColumn("other", F.lit(None).cast("boolean"))
-    last = records.agg(F.coalesce(F.max("ts_nanos"), F.lit(0)).alias("last_ts"))
-    rows = spans.unionByName(plain).crossJoin(F.broadcast(last))  # one row
+    rows = records.withColumn("_in", in_span).withColumn("_enter", has("enter")).withColumn("_exit", has("exit"))
+    rows = rows.withColumn("other", F.when(F.col("_in"), F.when(F.col("phase") == "enter", F.col("_exit")).otherwise(F.col("_enter"))))
+    last = (records if times is None else times).agg(F.coalesce(F.max("ts_nanos"), F.lit(0)).alias("last_ts"))
+    rows = rows.crossJoin(F.broadcast(last))  # one row
     shown = lambda ph, ts, mark: F.struct(F.lit(ph).alias("ph"), ts.alias("at"), F.lit(mark).alias("mark"))
     own, none = F.col("ts_nanos"), None
     kinds = (

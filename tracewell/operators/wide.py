@@ -27,10 +27,17 @@ def slice_of(f: Field, data: Column) -> Column:
     return F.when(F.octet_length(data) >= f.offset + f.width, F.substring(data, f.offset + 1, f.width))
 
 
+def _digits(part: Column, width: int) -> Column:
+    """Little-endian bytes as hexadecimal digits, highest first.
+
+    Few calls, whatever the width: the code that Spark makes of a wide row must stay small enough to be compiled.
+    """
+    return F.hex(part) if width == 1 else F.regexp_replace(F.reverse(F.hex(part)), "(.)(.)", "$2$1")
+
+
 def _raw(part: Column, width: int) -> Column:
     """Little-endian bytes as an unsigned decimal."""
-    pairs = F.concat(*[F.hex(F.substring(part, i, 1)) for i in range(width, 0, -1)])
-    return F.conv(pairs, 16, 10).cast(U64)
+    return F.conv(_digits(part, width), 16, 10).cast(U64)
 
 
 def decoded(f: Field, data: Column, sentinels: bool = True, text_of: Column | None = None, numeric_enums: bool = False) -> Column:
@@ -48,22 +55,23 @@ def decoded(f: Field, data: Column, sentinels: bool = True, text_of: Column | No
         return value
     if f.natural_width is None or f.width != f.natural_width or f.width not in (1, 2, 4, 8):
         return F.lit(None).cast(out_type)
-    raw = _raw(part, f.width)
+    raw = _digits(part, f.width)
     if sentinels and f.sentinel is not None:
-        raw = F.nullif(raw, u64(f.sentinel))
-    if f.output == "unsigned":
-        return raw
-    if f.output == "signed":
-        half = 1 << (8 * f.width - 1)
-        return F.when(raw >= u64(half), raw - F.lit(Decimal(2 * half))).otherwise(raw).cast("bigint")
+        raw = F.nullif(raw, F.lit(f"{f.sentinel:0{2 * f.width}X}"))
+    if f.output == "signed":  # filled up to eight bytes, so that the sign is where a long has it
+        return F.shiftright(F.conv(F.concat(raw, F.lit("00" * (8 - f.width))), 16, -10).cast("bigint"), 64 - 8 * f.width)
     if f.output == "bool":
-        return raw != F.lit(0)
+        return raw != F.lit("00" * f.width)
+    number = F.conv(raw, 16, 10)
+    if f.output == "unsigned":
+        return number.cast(U64)
     if f.kind == "enum":
-        out = None
-        for value, label in reversed(f.labels):
-            out = F.when(raw == u64(value), F.lit(label)).otherwise(raw.cast("string") if out is None else out)
-        return raw.cast("string") if out is None else out
-    shown = F.concat(F.lit("#"), raw.cast("string"))
+        labels: dict[int, str] = {}
+        for value, label in f.labels:
+            labels.setdefault(value, label)
+        known = F.create_map(*[F.lit(x) for value, label in labels.items() for x in (str(value), label)])
+        return F.coalesce(F.element_at(known, number), number) if labels else number
+    shown = F.concat(F.lit("#"), number)
     return shown if text_of is None else F.when(raw.isNotNull(), F.coalesce(text_of, shown))
 
 

@@ -568,8 +568,7 @@ def trace_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = engine.convert(spark, [path := _write_spans(spark, sf_dir)], f"{path}.json")
     args = f"struct<span: bigint, code: bigint, state: string, delta: bigint, {spans.OPEN}: boolean, {spans.ORPHAN}: boolean>"
     one = f"struct<ph: string, name: string, cat: string, id: string, pid: bigint, tid: bigint, ts: double, args: {args}>"
-    found = spark.read.schema(f"traceEvents array<{one}>").json(out)
-    at = found.select(F.explode("traceEvents").alias("t")).select("t.*")
+    at = engine.read_trace(spark, out, one)
     mark = F.when(F.col(f"args.{spans.OPEN}"), "open").when(F.col(f"args.{spans.ORPHAN}"), "orphan_exit").alias("mark")
     return at.select("ph", "name", "cat", "id", "pid", "tid", "ts", "args.span", "args.code", "args.state", "args.delta", mark)
 

@@ -8,16 +8,20 @@ import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tracewell.functions.ids import next_pow2
 from tracewell.sources import wire
-from tracewell.sources.ring import walk
+from tracewell.sources.footers import copy_bytes
+from tracewell.sources.ring import packed, walk_pieces
 from tracewell.sources.schema import EventType
 
 #: Ids and times as the bits of unsigned numbers; operators turn them into decimals where they are shown.
@@ -113,8 +117,6 @@ class DumpReader(DataSourceReader):
         if partition is None:  # no ring at all
             return
         h = partition.header
-        with open_input(partition.path) as f:
-            region = read_at(f, h.offset, h.capacity)
         rows: list[tuple[int, int, int, bytes]] = []
 
         def batch() -> pa.RecordBatch:
@@ -133,12 +135,13 @@ class DumpReader(DataSourceReader):
                 names=["file_idx", "section_idx", "instance_bits", "shard_id", "phys_offset", "ts_bits", "type_bits", "fields"],
             )
 
-        for record in walk(region, h.head, h.capacity, partition.sizes):
-            if partition.wanted is None or record[1] in partition.wanted:
-                rows.append(record)
-                if len(rows) == BATCH:
-                    yield batch()
-                    rows = []
+        with open_input(partition.path) as f:
+            for record in walk_pieces(lambda begin, n: read_at(f, h.offset + begin, n), h.head, h.capacity, partition.sizes):
+                if partition.wanted is None or record[1] in partition.wanted:
+                    rows.append(record)
+                    if len(rows) == BATCH:
+                        yield batch()
+                        rows = []
         if rows:
             yield batch()
 
@@ -146,11 +149,14 @@ class DumpReader(DataSourceReader):
 @dataclass
 class Part(WriterCommitMessage):
     path: str
-    shards: list[tuple[int, int, int, int]]  # instance, shard, bytes of the body, order key
+    pieces: list[tuple[int, int, int, int, int]]  # instance, shard, place among the ring's pieces, start in the file, bytes
 
 
 class DumpWriter(DataSourceArrowWriter):
-    """Writes rows of (instance_bits, shard_id, head, region); the driver puts the envelope before the parts."""
+    """Writes records, ring by ring and in order, as pieces of rings; the driver puts the envelope and rings together.
+
+    A task holds one batch at a time and a ring may lie across tasks, so no task's memory grows with a ring.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.out = options["out"]
@@ -159,25 +165,40 @@ class DumpWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         os.makedirs(self.folder, exist_ok=True)
-        path, shards = f"{self.folder}/{uuid.uuid4().hex}", []
+        path, pieces = f"{self.folder}/{uuid.uuid4().hex}", []
         with open(path, "wb") as f:
             for batch in iterator:
-                for row in batch.to_pylist():
-                    instance = row["instance_bits"] & ((1 << 64) - 1)
-                    body = wire.shard_body(instance, row["shard_id"], row["head"], row["region"])
-                    shards.append((instance, row["shard_id"], len(body), f.tell()))
-                    f.write(body)
-        return Part(path, shards)
+                instance, shard, place, ts, kind = (batch.column(c).to_numpy() for c in ("instance_bits", "shard_id", "place", "ts_bits", "type_bits"))
+                cuts = np.flatnonzero((instance[1:] != instance[:-1]) | (shard[1:] != shard[:-1])) + 1
+                for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                    if a == b:  # a batch without rows
+                        continue
+                    ring, at = (int(instance[a]) & ((1 << 64) - 1), int(shard[a])), f.tell()
+                    n = f.write(packed(ts[a:b], kind[a:b], batch.column("fields").slice(a, b - a)))
+                    if pieces and pieces[-1][:2] == ring:
+                        pieces[-1] = (*pieces[-1][:4], pieces[-1][4] + n)
+                    else:
+                        pieces.append((*ring, int(place[a]), at, n))
+        return Part(path, pieces)
 
     def commit(self, messages: list[Part | None]) -> None:
-        bodies = sorted((i, s, m.path, at, n) for m in messages if m for i, s, n, at in m.shards)
+        rings: dict[tuple[int, int], list[tuple[int, str, int, int]]] = {}
+        for m in messages:
+            for instance, shard, *piece in m.pieces if m else ():
+                rings.setdefault((instance, shard), []).append((piece[0], m.path, *piece[1:]))
+        heads = {ring: sum(n for *_, n in pieces) for ring, pieces in sorted(rings.items())}
         with open(f"{self.folder}.tmp", "wb") as out:
-            out.write(wire.layout([(k, len(b)) for k, b in self.before] + [(wire.SHARD, n) for *_, n in bodies]))
+            out.write(wire.layout([(k, len(b)) for k, b in self.before] + [(wire.SHARD, wire.SHARD_HEADER + next_pow2(n)) for n in heads.values()]))
             for _, body in self.before:
                 out.write(body)
-            for _, _, path, at, n in bodies:
-                with open(path, "rb") as f:
-                    out.write(read_at(f, at, n))
+            for ring, head in heads.items():
+                out.write(wire.shard_header(*ring, head, next_pow2(head)))
+                for _, path, at, n in sorted(rings[ring]):
+                    with open(path, "rb") as f:
+                        f.seek(at)
+                        copy_bytes(f, out, n)
+                out.seek(next_pow2(head) - head, os.SEEK_CUR)
+            out.truncate()  # zeros to the end of the last ring
         os.replace(f"{self.folder}.tmp", self.out)
         shutil.rmtree(self.folder, ignore_errors=True)
 
@@ -209,11 +230,17 @@ def read_records(spark: SparkSession, paths: list[str], types: list[int] | None
     return (reader if types is None else reader.option("types", json.dumps(types))).load()
 
 
-def write_regions(regions: DataFrame, out: str, before: list[tuple[int, bytes]]) -> None:
-    """A dump of the given sections and one shard for each row of (instance_bits, shard_id, head, region).
+def write_rings(records: DataFrame, order: list[str], out: str, before: list[tuple[int, bytes]]) -> None:
+    """A dump of the given sections and one shard for each (instance_bits, shard_id), no larger than it must be.
 
-    ``out`` and its part files are in a folder that driver and executors share.
+    ``records`` have ts_bits, type_bits and fields; a ring's stand in the order of the columns ``order``.  They are
+    range-partitioned, so that many tasks write a ring.  ``out`` and its part files are in a folder that driver and
+    executors share.
     """
-    regions.sparkSession.dataSource.register(DumpSource)
+    spark = records.sparkSession
+    spark.dataSource.register(DumpSource)
     options = {"out": out, "before": json.dumps([(k, b.hex()) for k, b in before]), "token": uuid.uuid4().hex}
-    regions.select("instance_bits", "shard_id", "head", "region").write.format("flightdump").mode("append").options(**options).save()
+    keys = ["instance_bits", "shard_id", *order]
+    placed = records.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    rows = placed.select("instance_bits", "shard_id", F.monotonically_increasing_id().alias("place"), "ts_bits", "type_bits", "fields")
+    rows.write.format("flightdump").mode("append").options(**options).save()
